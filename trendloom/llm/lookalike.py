@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.session import settle
+
 # Letters of other alphabets with the shape of a Latin letter, by that letter.
 SAME_SHAPE = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "Ԍ", "H": "НΗᎻ", "I": "ІΙ", "J": "ЈᎫ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜᎷ",
@@ -175,14 +177,25 @@ def spelling(token: str) -> str:
 
 
 def vocabulary(docs: DataFrame, *, text: str = "text", size: int = 50_000, least: int = 2) -> list[str]:
-    """Canonical spellings: the `size` most frequent words of all texts that occur `least` times.
+    """Canonical spellings: the most frequent words of all texts that occur `least` times, at most `size`.
 
     Counts cover every text; only the list is bounded, and words beyond it are normalised by
-    table to the same effect. Of equal counts the lower word comes first.
+    table to the same effect. Words go in by whole classes of frequency (eighths of a power of
+    two), so the driver gets a few hundred class sizes and then no more than `size` words.
     """
     words = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(F.col(text), r"[^\p{L}\p{M}]+")).alias("w"))
-    top = words.where("w <> ''").groupBy("w").count().where(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(size)
-    return sorted({spelling(r["w"]) for r in top.collect()})
+    counts = words.where("w <> ''").groupBy("w").count().where(F.col("count") >= least)
+    classed = settle(counts.select("w", F.floor(F.log2("count") * 8).cast("int").alias("class")), "words")
+    sizes = {r["class"]: r["count"] for r in classed.groupBy("class").count().collect()}
+    total, lowest = 0, None
+    for c in sorted(sizes, reverse=True):
+        total += sizes[c]
+        if total > size:
+            break
+        lowest = c
+    if lowest is None:
+        return []
+    return sorted({spelling(r["w"]) for r in classed.where(F.col("class") >= lowest).select("w").collect()})
 
 
 def canonical_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", spellings: list[str] | None = None, keep_text: bool = False) -> DataFrame:
@@ -225,9 +238,9 @@ def look_pairs(forms: DataFrame) -> DataFrame:
 
     Documents whose text is stored in one way only, however many copies there are, are set
     aside before the join; what remains is joined on the digest of the canonical text, and a
-    pair of equal texts never forms.
+    pair of equal texts never forms. The digests are written down first: texts are read once.
     """
-    shown = forms.where("NOT blank").select("doc_id", "look", "stored")
+    shown = settle(forms.where("NOT blank").select("doc_id", "look", "stored"), "looks")
     several = shown.distinct().groupBy("look").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b").select("look")
     part = shown.join(several, "look", "left_semi")
     a = part.select(F.col("doc_id").alias("doc_id_a"), "look", F.col("stored").alias("stored_a"))
