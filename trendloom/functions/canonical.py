@@ -71,7 +71,7 @@ def _adapted(event_id: Column, kind: Column, time: Column, fields: dict[str, Col
 
 
 def _path(name: str) -> Column:
-    return F.nullif(F.get_json_object("raw_json", "$." + name), F.lit(""))
+    return F.nullif(F.get_json_object("raw_json", f"${'' if name.startswith('[') else '.'}{name}"), F.lit(""))
 
 
 def _millis(*names: str) -> Column:

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def session_stream(events: DataFrame, *, key: str = "partition_key", time: str = "event_time", gap: str = "30 minutes", lateness: str = "24 hours") -> DataFrame:
+def session_stream(events: DataFrame, *, key: str = "partition_key", time: str = "event_time", gap: str = "30 minutes", lateness: str | None = "24 hours") -> DataFrame:
     """Sessions of a stream: every event opens a gap-length interval and overlapping ones merge per key.
 
     Late events extend, join or add sessions until the watermark, `lateness` behind the latest
-    event time, has passed them. In append mode a session comes out once it is closed.
+    event time, has passed them. In append mode a session comes out once it is closed. A stream
+    that has its watermark already takes `lateness=None`.
     """
     return (
-        events.withWatermark(time, lateness)
+        (events if lateness is None else events.withWatermark(time, lateness))
         .groupBy(F.col(key), F.session_window(time, gap).alias("w"))
         .agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count(F.lit(1)).alias("n_events"))
         .select(key, "start", "end", "n_events")
