@@ -48,7 +48,9 @@ def _find(t: pa.Table, most_apart_ms: int, last: bool, opened: bool) -> tuple[pa
     points[places] = symbols(kind)
     text = points.astype("<u4").tobytes().decode("utf-32-le")
     split = bool((block != -(2**62)).any())
-    spans = np.array([m.span() for m in (_EVERY if split or not last else _REPEATED).finditer(text)], np.int64).reshape(-1, 2)
+    # single events matter at the edges of blocks, where a run may go on, and where one event stands for a run begun before
+    single = split or not last or bool((n > 1).any())
+    spans = np.array([m.span() for m in (_EVERY if single else _REPEATED).finditer(text)], np.int64).reshape(-1, 2)
     i = np.searchsorted(places, spans[:, 0])
     j = np.searchsorted(places, spans[:, 1] - 1)
 
