@@ -45,7 +45,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold an item with other numbers, names or units, and not as it is."""
+    """Documents that hold an item with other numbers, names or units."""
     return reparameterised_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 

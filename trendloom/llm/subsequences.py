@@ -255,6 +255,7 @@ def frequent_triples(
     `within_ms`, and count once for all their blocks.
     """
     spark = events.sparkSession
+    events = events.select("k", "t", "type_key")
     pairs = counted if counted is not None else events.where("k IS NOT NULL AND t IS NOT NULL AND type_key IS NOT NULL").select("k", "type_key").distinct()
     n_keys = pairs.select("k").distinct().count()
     need = max(least, -(-n_keys // one_in))
