@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +37,26 @@ class IntervalMap:
         return list(zip(self.ends[:-1], self.starts[1:], strict=True))
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    held = IntervalMap()
-    for s, e in zip(pdf["s"].tolist(), pdf["e"].tolist(), strict=True):
-        held.add(s, e)
-    return pd.DataFrame({"k": pdf["k"].iloc[0], "slice": pdf["slice"].iloc[0], "s": held.starts, "e": held.ends})
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals sorted by (key, slice) through one map for each; what is merged leaves when its slice ends."""
+    group, held = None, IntervalMap()
+    out: list[tuple] = []
+    for b in batches:
+        for k, piece, s, e in zip(*(b[c].to_pylist() for c in ("k", "slice", "s", "e")), strict=True):
+            if (k, piece) != group:
+                out += [(*group, x, y) for x, y in zip(held.starts, held.ends, strict=True)] if group else []
+                group, held = (k, piece), IntervalMap()
+            held.add(s, e)
+        if len(out) >= 10_000:
+            yield _pieces(out)
+            out = []
+    if group:
+        yield _pieces([*out, *((*group, x, y) for x, y in zip(held.starts, held.ends, strict=True))])
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    k, piece, s, e = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(piece, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["k", "slice", "s", "e"])
 
 
 def periods_and_gaps(df: DataFrame, *, key: str = "partition_key", start: str = "window_start_ms", end: str = "window_end_ms", slice_ms: int = 7 * 86_400_000) -> DataFrame:
@@ -65,7 +81,7 @@ def periods_and_gaps(df: DataFrame, *, key: str = "partition_key", start: str =
         .distinct()
         .select("k", (F.col("s") - F.pmod(F.col("s"), F.lit(slice_ms))).alias("slice"), "s", "e")
     )
-    pieces = settle(rows.groupBy("k", "slice").applyInPandas(_merge, _PIECES), "intervals")
+    pieces = settle(rows.repartition("k", "slice").sortWithinPartitions("k", "slice").mapInArrow(_merge, _PIECES), "intervals")
 
     earlier = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     reached = pieces.groupBy("k", "slice").agg(F.max("e").alias("top")).select("k", "slice", F.max("top").over(earlier).alias("reached"))
