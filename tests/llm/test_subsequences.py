@@ -45,7 +45,7 @@ def test_ties_have_no_order_and_window_is_inclusive(spark):
     for k in ("p", "q", "r"):
         events += [(1, k, 10, "a"), (2, k, 10, "b"), (3, k, 15, "b"), (4, k, 20, "c"), (5, k, 21, "d")]
     df = spark.createDataFrame(events, "event_id bigint, k string, t bigint, type_key string")
-    assert found(df, within_ms=10, one_in=2, least=3) == [("a", "b", "c", 3)]
+    assert found(df, within_ms=10, one_in=2, least=3) == [("a", "b", "c", 3), ("b", "c", "d", 3)]
 
 
 def test_nulls_and_empty(spark):
