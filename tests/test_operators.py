@@ -145,3 +145,37 @@ def test_checked(spark):
     e = spark.createDataFrame([(1, "p", "A", 1, ""), (2, "p", "", 1, ""), (3, "p", "A", 1, ""), (3, "p", "A", 1, ""), (None, "p", "A", 1, ""), (4, None, "A", 1, ""), (5, "p", "A", None, "")], schema)
     assert dict(checked(e).groupBy("reason").count().collect()) == {None: 1, "empty event_type": 1, "duplicate event_id": 2, "missing event_id": 1, "missing partition_key": 1, "missing event_time_ms": 1}
     assert sound(e).count() == 1 and rejects(e).count() == 6
+
+
+def test_metric_buffer(spark):
+    from trendloom.operators.metrics import MetricBuffer
+
+    m = MetricBuffer("s", 3)
+    m.add("paths_found", 2, "q", "v1", "k")
+    with pytest.raises(KeyError), m.timer("took_ms"):
+        raise KeyError("x")
+    assert [(r["query_id"], r["metric_name"]) for r in m.table(spark).collect()] == [("q", "paths_found"), ("_all", "took_ms")]
+
+
+def test_mutations(spark):
+    schema = "seq bigint, op string, event_id bigint, partition_key string, event_type string, event_time_ms bigint"
+    log = spark.createDataFrame([(1, "upsert", 1, "p", "A", 1), (2, "upsert", 2, "p", "B", 2), (3, "delete", 1, "p", "A", 1), (4, None, 2, "q", "C", 3)], schema)
+    assert rows(graph.mutation_log(log), "partition_key", "revision", "op", "event_id") == [("p", 1, "upsert", 1), ("p", 2, "upsert", 2), ("p", 3, "delete", 1), ("q", 1, "upsert", 2)]
+    assert rows(graph.current_events(log), "event_id", "partition_key", "event_type") == [(2, "q", "C")]
+
+
+def test_calibration(spark):
+    g = windows.graphlets(windows.sliding_windows(spark, 0, 400, 20, 10).withColumn("window_end", F.col("window_end") + F.col("idx") * 3), cpu=(0.5, 0.25))
+    r = windows.calibrate_costs(g, "cpu_cost").first()
+    assert (round(r["per_vertex"], 6), round(r["per_edge"], 6)) == (0.25, 0.5)
+
+
+def test_pipeline_and_schemas(spark):
+    from trendloom.schemas import TABLES, create_tables
+    from trendloom.streaming.pipeline import canonical, rejected
+
+    raw = spark.createDataFrame([('{"id": 1, "type": "A", "timestamp_ms": 5}',), ('{"id": 2, "type": "A"}',), ("not json",)], "raw_json string")
+    assert canonical(raw, "s").count() == 1 and rejected(raw, "s").count() == 2
+    for ddl in TABLES.values():
+        assert spark.createDataFrame([], ddl).count() == 0
+    assert callable(create_tables)

@@ -109,3 +109,20 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(trend_id, ordinal, src, dst, relation, evidence): the edges between consecutive events of each path."""
     pairs = paths.select("trend_id", F.posexplode(F.arrays_zip(F.slice("ids", 1, F.greatest(F.size("ids") - 1, F.lit(0))).alias("src"), F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(0))).alias("dst"))).alias("ordinal", "p"))
     return pairs.select("trend_id", F.col("ordinal").cast("long").alias("ordinal"), "p.src", "p.dst").join(edges.select("src", "dst", "relation", "evidence"), ["src", "dst"]).select("trend_id", "ordinal", "src", "dst", "relation", "evidence")
+
+
+def mutation_log(changes: DataFrame) -> DataFrame:
+    """Changes (seq, op, event_id, partition_key, event_time_ms) as a log (op, event_id, partition_key, revision, happened_at_ms).
+
+    The revision counts the changes of a key in order of `seq`; `op` is `upsert` unless it is `delete`.
+    """
+    w = Window.partitionBy("partition_key").orderBy("seq")
+    op = F.when(F.col("op") == "delete", "delete").otherwise("upsert")
+    return changes.select(op.alias("op"), "event_id", "partition_key", F.row_number().over(w).cast("long").alias("revision"), F.col("event_time_ms").alias("happened_at_ms"))
+
+
+def current_events(changes: DataFrame) -> DataFrame:
+    """The events that a log of changes leaves: the last change of each identifier, unless it is a `delete`."""
+    rest = [c for c in changes.columns if c != "event_id"]
+    last = changes.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.max_by(F.struct(*rest), "seq").alias("x"))
+    return last.select("event_id", *(f"x.{c}" for c in rest)).where("op IS DISTINCT FROM 'delete'").drop("op", "seq")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from time import perf_counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names of the metrics that a run reports.
@@ -43,10 +45,33 @@ def derived_ratios(batch: DataFrame) -> DataFrame:
         (F.sum("temporal_rejects") / F.greatest(F.sum("paths_found"), F.lit(1))).alias("temporal_reject_rate"),
     )
     hot = batch.groupBy("partition_key").agg(F.sum("paths_found").alias("n")).agg(F.max("n").alias("hot_partition_paths"))
-    return long_metrics(one.join(hot, F.lit(True)), [], ["dead_letter_ratio", "truncation_ratio", "temporal_reject_rate", "hot_partition_paths"])
+    return long_metrics(one, [], one.columns).unionByName(long_metrics(hot, [], hot.columns))
 
 
 def alerts(metrics: DataFrame, rules: Sequence[tuple[str, str, float, str]]) -> DataFrame:
     """(alert, severity, metric_name, metric_value) of metrics above the threshold of a rule (alert, metric, threshold, severity)."""
     table = metrics.sparkSession.createDataFrame(list(rules), "alert string, metric_name string, threshold double, severity string")
     return metrics.join(F.broadcast(table), "metric_name").where("metric_value > threshold").select("alert", "severity", "metric_name", "metric_value")
+
+
+class MetricBuffer:
+    """Metrics of a driver's steps, kept until they are written as rows of `COLUMNS`."""
+
+    def __init__(self, stream_id: str, batch_id: int) -> None:
+        self.stream_id, self.batch_id = stream_id, batch_id
+        self.rows: list[tuple] = []
+
+    def add(self, name: str, value: float, query_id: str = "_all", version: str | None = None, key: str | None = None) -> None:
+        self.rows.append((self.stream_id, self.batch_id, query_id, version, key, name, float(value)))
+
+    @contextmanager
+    def timer(self, name: str, query_id: str = "_all") -> Iterator[None]:
+        """Adds the milliseconds that the block takes, also if it fails."""
+        began = perf_counter()
+        try:
+            yield
+        finally:
+            self.add(name, (perf_counter() - began) * 1000, query_id)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, COLUMNS)

@@ -21,12 +21,14 @@ def changed_late(events: DataFrame, now_ms: int, lateness_ms: int, lookback_ms:
 def impacted_windows(changed: DataFrame, registry: DataFrame, lateness_ms: int = 1_800_000) -> DataFrame:
     """Per active query and changed key the time to recompute: the changed events' range, wider by window and lateness.
 
-    The changed events shrink to one row per key before the (small) registry multiplies them.
+    The changed events shrink to one row per key first; the registry (rules, not data) goes into
+    the plan as literals, of which each key takes all.
     """
     ranges = changed.where(F.col("partition_key").isNotNull()).groupBy("partition_key").agg(F.min("event_time_ms").alias("source_min_event_time_ms"), F.max("event_time_ms").alias("source_max_event_time_ms")).where(F.col("source_min_event_time_ms").isNotNull())
-    active = registry.where("enabled").select("query_id", "query_version", "within_ms")
+    active = registry.where("enabled").select("query_id", "query_version", F.col("within_ms").cast("long").alias("within_ms"))
+    rules = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for (c, t), v in zip(active.dtypes, r, strict=True))) for r in active.collect())).cast("array<struct<query_id:string,query_version:string,within_ms:bigint>>")
     margin = F.col("within_ms") + F.lit(lateness_ms)
-    return ranges.join(F.broadcast(active), F.lit(True)).select(
+    return ranges.withColumn("q", F.explode(rules)).select("*", "q.*").select(
         "query_id", "query_version", "partition_key",
         (F.col("source_min_event_time_ms") - margin).alias("window_start_ms"), (F.col("source_max_event_time_ms") + margin).alias("window_end_ms"),
         "source_min_event_time_ms", "source_max_event_time_ms",
@@ -118,8 +120,8 @@ def replay_diff(current: DataFrame, recomputed: DataFrame) -> DataFrame:
 def validation_counts(table: DataFrame, recomputed: DataFrame) -> DataFrame:
     """(check_name, value): recomputed, retracted and active trends after a replay."""
     states = table.agg(F.count_if(F.col("state") == "retracted").alias("retracted_count"), F.count_if(F.col("state") == "active").alias("active_after_replay_count"))
-    counts = recomputed.agg(F.count(F.lit(1)).alias("recomputed_count")).join(states, F.lit(True))
-    return counts.unpivot([], ["recomputed_count", "retracted_count", "active_after_replay_count"], "check_name", "value")
+    found = recomputed.agg(F.count(F.lit(1)).alias("value")).select(F.lit("recomputed_count").alias("check_name"), "value")
+    return found.unionByName(states.unpivot([], states.columns, "check_name", "value"))
 
 
 def state_id() -> Column:

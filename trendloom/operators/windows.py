@@ -63,3 +63,14 @@ def least_cpu_plan(g: DataFrame, memory: float) -> DataFrame:
     """The set of graphlets of least cpu cost that fits in memory and isn't empty: the single cheapest; of equals the last."""
     best = g.where(F.col("memory_cost") <= memory).agg(F.min_by(F.struct("idx", "memory_cost", "cpu_cost"), F.struct("cpu_cost", (-F.col("idx")).alias("n"))).alias("x"))
     return best.where("x IS NOT NULL").select("x.*")
+
+
+def calibrate_costs(observed: DataFrame, cost: str) -> DataFrame:
+    """(per_vertex, per_edge): the least-squares weights of vertices and edges for an observed cost, in one aggregate.
+
+    Null where vertices and edges don't vary independently.
+    """
+    v, e, c = F.col("vertices").cast("double"), F.col("edges").cast("double"), F.col(cost).cast("double")
+    sums = observed.agg(F.sum(v * v).alias("vv"), F.sum(e * e).alias("ee"), F.sum(v * e).alias("ve"), F.sum(v * c).alias("vc"), F.sum(e * c).alias("ec"))
+    det = F.nullif(F.col("vv") * F.col("ee") - F.col("ve") * F.col("ve"), F.lit(0.0))
+    return sums.select(((F.col("vc") * F.col("ee") - F.col("ec") * F.col("ve")) / det).alias("per_vertex"), ((F.col("ec") * F.col("vv") - F.col("vc") * F.col("ve")) / det).alias("per_edge"))

@@ -145,6 +145,12 @@ for _name, (_doc, _sql) in WHERE.items():
     )
 
 
+# conditions between an event of a path and the next
+_RISING = f"WITH {C} {chain_paths(CVP, DAY, 's1.k > s0.k AND s2.k > s1.k')}"
+for _plan in ("join", "fold"):
+    add(f"seq_between_{_plan}", lambda s, d, plan=_plan: shown(match(events(s, d), spec("click,view,purchase", DAY), ("k",), plan, lambda a, b: b["k"] > a["k"])), _RISING)
+
+
 # relations and absence
 def related(name: str, relation: dict[str, object], test: str, within_ms: int = DAY) -> None:
     add(name, lambda s, d: shown(match(events(s, d), spec("click,view,purchase", within_ms, relations=[relation]))), f"WITH {C} {chain_paths(CVP, within_ms, test)}")
@@ -228,6 +234,23 @@ add(
     f"""WITH {C}, x AS (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY partition_key ORDER BY event_time_ms, event_id) AS dst, min(event_time_ms) OVER (PARTITION BY partition_key) AS window_start_ms, max(event_time_ms) OVER (PARTITION BY partition_key) AS window_end_ms FROM c)
 SELECT * FROM x WHERE dst IS NOT NULL""",
 )
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    """The activity table as changes: every third event is taken back later, every fifth is sent again with another type."""
+    e = events(spark, d).select("event_id", "partition_key", "event_type", "event_time_ms")
+    first = e.withColumn("op", F.lit("upsert")).withColumn("seq", F.col("event_id") * 3)
+    gone = e.where("event_id % 3 = 0").withColumn("op", F.lit("delete")).withColumn("seq", F.col("event_id") * 3 + 1)
+    again = e.where("event_id % 5 = 0").withColumn("event_type", F.lit("fixed")).withColumn("op", F.lit("upsert")).withColumn("seq", F.col("event_id") * 3 + 2)
+    return first.unionByName(gone).unionByName(again)
+
+
+CHANGES = f"""WITH {C}, ch AS (SELECT event_id, partition_key, event_type, event_time_ms, 'upsert' AS op, event_id * 3 AS seq FROM c UNION ALL SELECT event_id, partition_key, event_type, event_time_ms, 'delete', event_id * 3 + 1 FROM c WHERE event_id % 3 = 0
+ UNION ALL SELECT event_id, partition_key, 'fixed', event_time_ms, 'upsert', event_id * 3 + 2 FROM c WHERE event_id % 5 = 0)"""
+add("graph_mutations", lambda s, d: graph.mutation_log(_changes(s, d)), f"{CHANGES} SELECT op, event_id, partition_key, row_number() OVER (PARTITION BY partition_key ORDER BY seq) AS revision, event_time_ms AS happened_at_ms FROM ch")
+add(
+    "graph_current_edges",
+    lambda s, d: graph.temporal_edges(graph.current_events(_changes(s, d))).select(*COLS),
+    f"{CHANGES}, x AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seq DESC) = 1), y AS (SELECT * FROM x WHERE op <> 'delete'), z AS ({T_EDGES.replace('{c}', 'y')}) SELECT * FROM z WHERE dst IS NOT NULL",
+)
 _GRAPH = Options(mode="graph", entity_keys=KEYS, max_gap_ms=6 * HOUR, max_length=5)
 add(
     "graph_walk_2step",
@@ -504,6 +527,13 @@ SELECT idx FROM r WHERE idx >= 0""",
 )
 add("graphlet_min_cpu", lambda s, d: windows.least_cpu_plan(_graphlets(s, d), 60.0).select("idx", "cpu_cost"), f"WITH {G} SELECT idx, cpu_cost FROM q WHERE memory_cost <= 60 ORDER BY cpu_cost, idx DESC LIMIT 1")
 
+def _calibrated(spark: SparkSession, d: str) -> DataFrame:
+    g = _graphlets(spark, d)
+    return windows.calibrate_costs(g, "cpu_cost").select(F.round("per_vertex", 6).alias("per_vertex"), F.round("per_edge", 6).alias("per_edge"))
+
+
+add("graphlet_calibration", _calibrated, "SELECT 0.2::double AS per_vertex, 0.8::double AS per_edge")
+
 # registry
 add(
     "registry_latest",

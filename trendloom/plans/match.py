@@ -8,6 +8,7 @@ key is spread over its stretches and no array holds more than two of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,9 @@ from trendloom.functions.predicates import field
 from trendloom.plans.pattern import Step, fixed_sequences
 from trendloom.plans.spec import QuerySpec, Relation
 
+#: A condition on an event of a path and the next one.
+Between = Callable[[Column, Column], Column]
+
 #: Names of the parts of an event inside a path.
 ID, TIME, TYPE = "id", "t", "y"
 
@@ -49,13 +53,15 @@ def _after(a: Column, b: Column) -> Column:
     return (b[TIME] > a[TIME]) | ((b[TIME] == a[TIME]) & (b[ID] > a[ID]))
 
 
-def _join_chain(rows: DataFrame, anchored: DataFrame, sequence: tuple[tuple[str, ...], ...], within_ms: int) -> DataFrame:
+def _join_chain(rows: DataFrame, anchored: DataFrame, sequence: tuple[tuple[str, ...], ...], within_ms: int, between: Between | None) -> DataFrame:
     """Paths of one written-out sequence: joins on key and anchor, each later than the one before."""
     paths = rows.where(F.col("event_type").isin(list(sequence[0]))).select("partition_key", stretch(F.col("t"), within_ms).alias("anchor"), F.col("ev").alias("e0"))
     for i, accepted in enumerate(sequence[1:], 1):
         right = anchored.where(F.col("event_type").isin(list(accepted))).select(F.col("partition_key").alias("k2"), F.col("anchor").alias("a2"), F.col("ev").alias(f"e{i}"))
         first, last, new = F.col("e0"), F.col(f"e{i - 1}"), F.col(f"e{i}")
         on = (F.col("partition_key") == F.col("k2")) & (F.col("anchor") == F.col("a2")) & _after(last, new) & (new[TIME] - first[TIME] <= within_ms)
+        if between is not None:
+            on = on & F.coalesce(between(last, new), F.lit(False))
         paths = paths.join(right, on).drop("k2", "a2")
     return paths.select("partition_key", F.array(*(f"e{i}" for i in range(len(sequence)))).alias("path"))
 
@@ -71,7 +77,7 @@ def _targets(steps: tuple[Step, ...], i: int) -> list[int]:
     return out
 
 
-def _fold(rows: DataFrame, steps: tuple[Step, ...], within_ms: int) -> DataFrame:
+def _fold(rows: DataFrame, steps: tuple[Step, ...], within_ms: int, between: Between | None) -> DataFrame:
     """Paths by a fold over the sorted events of each (key, anchor), carrying partial paths.
 
     A partial is (step, repeats, time of its first event, path); repeats count up to what the
@@ -90,8 +96,9 @@ def _fold(rows: DataFrame, steps: tuple[Step, ...], within_ms: int) -> DataFrame
 
     def go_on(x: Column, e: Column) -> Column:
         options = []
+        holds_ = F.lit(True) if between is None else F.coalesce(between(F.element_at(x["path"], -1), e), F.lit(False))
         for i, s in enumerate(steps):
-            here = x["i"] == i
+            here = (x["i"] == i) & holds_
             longer = F.concat(x["path"], F.array(e))
             cap = s.most if s.most is not None else max(s.least, 1)
             again = fits(i, e) if s.most is None else fits(i, e) & (x["r"] < s.most)
@@ -126,12 +133,13 @@ def path_text(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda e: e[ID].cast("string")), ",")
 
 
-def match_paths(events: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = (), plan: str = "auto") -> DataFrame:
+def match_paths(events: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = (), plan: str = "auto", between: Between | None = None) -> DataFrame:
     """All paths (partition_key, path) of a query before relations and absence; each once.
 
     A path is an array of events (id, t, y and `fields`). Positions rise strictly in order of
     (time, identifier); the last event is at most `within_ms` after the first. `plan` is `join`,
-    `fold` or `auto`: joins where the pattern can be written out.
+    `fold` or `auto`: joins where the pattern can be written out. `between` is a condition on each
+    event of a path and the next one, given their `fields`; where it is null it doesn't hold.
     """
     steps = spec.steps
     rows = candidates(events, spec, fields)
@@ -139,9 +147,9 @@ def match_paths(events: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = ()
     if plan == "join" and sequences is None:
         raise ValueError("the pattern can't be written out for joins")
     if sequences is None:
-        return _fold(rows, steps, spec.within_ms)
+        return _fold(rows, steps, spec.within_ms, between)
     anchored = with_anchors(rows, spec.within_ms)
-    parts = [_join_chain(rows, anchored, s, spec.within_ms) for s in sequences]
+    parts = [_join_chain(rows, anchored, s, spec.within_ms, between) for s in sequences]
     found = reduce(DataFrame.unionByName, parts)
     # two ways of writing a pattern out may accept one path
     return found if len(sequences) == 1 else found.withColumn("ids", path_text(F.col("path"))).dropDuplicates(["partition_key", "ids"]).drop("ids")
@@ -181,10 +189,10 @@ def without_absent(paths: DataFrame, events: DataFrame, spec: QuerySpec, matched
     return paths.drop("t0", "t1", "anchor", "held")
 
 
-def match(events: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = (), plan: str = "auto") -> DataFrame:
+def match(events: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = (), plan: str = "auto", between: Between | None = None) -> DataFrame:
     """All valid paths (partition_key, path) of a query: pattern, conditions, relations and absence."""
     wanted = tuple(dict.fromkeys([*fields, *(r.field for r in spec.relations)]))
-    paths = match_paths(events, spec, wanted, plan)
+    paths = match_paths(events, spec, wanted, plan, between)
     for r in spec.relations:
         paths = paths.where(holds(r, F.col("path")))
     return without_absent(paths, events, spec)
