@@ -17,6 +17,7 @@ from trendloom.operators.enrich import entities, features, risk, trends
 from trendloom.plans.match import match, path_text
 from trendloom.plans.spec import QuerySpec, Registry, latest_versions
 from trendloom.plans.walk import walk_rejects
+from trendloom.session import settle
 from trendloom.tables import table
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -549,6 +550,7 @@ def _registry_trends(spark: SparkSession, d: str) -> DataFrame:
     from trendloom.operators.buffer_events import canonical_events
 
     buffer = canonical_events(table(spark, d, "cet_event_buffer_v5")).select("event_id", F.col("k").alias("partition_key"), F.col("type_key").alias("event_type"), F.col("t").alias("event_time_ms"))
+    buffer = settle(buffer, "events")  # seven plans read it
     plain = Registry(tuple(replace(q, pattern=q.pattern.lower(), relations=()) for q in Registry.from_table(table(spark, d, "cet_query_registry_v4")).queries))
     return run(buffer, plain).groupBy("query_id", "query_version").agg(F.count(F.lit(1)).alias("n_trends"), F.count_distinct("partition_key").alias("n_keys"), F.max("event_count").alias("longest"))
 

@@ -54,3 +54,13 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/settled/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores.
+
+    For work that costs far more than moving its rows, where few files or row groups would leave
+    cores idle. Where the scan has partitions enough, nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
