@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.session import spread
+
 #: Where the vocabulary files lie; a parameter, never part of this repository.
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: how the vocabulary's texts are cut before merging (the published pattern).
@@ -105,7 +107,8 @@ def encode_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     A null or empty text gives an empty list; blank text is encoded as it is; strings that
     spell special tokens are ordinary text. Method: monoid tree reduction (`BytePairs`); a
-    text of up to `leaf_chars` characters is a leaf. Rows are independent: nothing is shuffled.
+    text of up to `leaf_chars` characters is a leaf. Rows are independent: nothing is shuffled
+    unless the scan has fewer partitions than there are cores.
     """
     path = f"{folder}/{vocabulary}.tiktoken"
 
@@ -117,7 +120,7 @@ def encode_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else _NONE))], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, ids array<bigint>")
+    return spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id bigint, ids array<bigint>")
 
 
 def decode_ids(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

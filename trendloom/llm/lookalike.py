@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.session import settle
+from trendloom.session import settle, spread
 
 # Letters of other alphabets with the shape of a Latin letter, by that letter.
 SAME_SHAPE = {
@@ -219,7 +219,8 @@ def canonical_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             columns = [b["doc_id"], pa.array([not m.strip() for m in made]), pa.array(map(_digest, made), pa.binary()), pa.array(map(_digest, texts), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(made)] * keep_text, ["doc_id", "blank", "look", "stored", "canonical"][: 4 + keep_text])
 
-    return docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return spread(rows).mapInArrow(run, schema)
 
 
 def _digest(text: str) -> bytes:
