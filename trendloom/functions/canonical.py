@@ -12,7 +12,8 @@ REQUIRED = ("event_id", "partition_key", "event_type", "event_time_ms")
 def from_activity(events: DataFrame) -> DataFrame:
     """Canonical events of the activity table (event_id, ts, user_id, event_type, value, props)."""
     k = F.get_json_object("props", "$.k").cast("int")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    # from the parts of the wall-clock time, so that the session's zone plays no part
+    ms = F.expr("unix_date(CAST(ts AS DATE)) * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L + CAST(floor(extract(SECOND FROM ts) * 1000) AS BIGINT)")
     user = F.col("user_id")
     rows = events.select(
         "event_id",

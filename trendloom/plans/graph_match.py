@@ -13,7 +13,7 @@ from trendloom.plans.walk import walk_steps
 from trendloom.session import settle
 
 
-def match_graph(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = (), max_length: int = 16, settle_every: int = 4) -> DataFrame:
+def match_graph(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = (), max_length: int = 16, settle_every: int = 1) -> DataFrame:
     """All walks (partition_key, path, matched) along edges (src, dst, window_start_ms, window_end_ms), each once.
 
     As walks over consecutive events, but the next event is any that an edge leads to: of the
@@ -25,7 +25,7 @@ def match_graph(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tu
     the first event. Edges to unknown events lead nowhere.
 
     Plan: one join of the frontier with the edges per level, on the source event; edges carry
-    their target, so the frontier alone moves. Lineage is cut every few levels.
+    their target, so the frontier alone moves. Each level is written down (every `settle_every` levels, if larger), so that no level is worked out twice.
     """
     steps = walk_steps(spec)
     known = candidates(events, spec, fields)

@@ -40,13 +40,14 @@ def candidates(events: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = (),
 
 
 def stretch(t: Column, within_ms: int) -> Column:
-    return F.floor(t / F.lit(max(1, within_ms))).cast("long")
+    """Where the stretch of time that holds t begins, in whole numbers."""
+    return t - F.pmod(t, F.lit(max(1, within_ms)))
 
 
 def with_anchors(df: DataFrame, within_ms: int, t: str = "t") -> DataFrame:
     """Each row for the two anchors whose paths it can be on; `own` where a path may begin."""
     at = stretch(F.col(t), within_ms)
-    return df.withColumn("anchor", F.explode(F.array(at, at - 1))).withColumn("own", F.col("anchor") == at)
+    return df.withColumn("anchor", F.explode(F.array(at, at - max(1, within_ms)))).withColumn("own", F.col("anchor") == at)
 
 
 def _after(a: Column, b: Column) -> Column:
