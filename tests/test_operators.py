@@ -179,3 +179,15 @@ def test_pipeline_and_schemas(spark):
     for ddl in TABLES.values():
         assert spark.createDataFrame([], ddl).count() == 0
     assert callable(create_tables)
+
+
+def test_spread(spark):
+    from trendloom.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(0, 100, 1, 1)
+    assert spread(few).rdd.getNumPartitions() == cores
+    many = spark.range(0, 100, 1, cores + 1)
+    assert spread(many) is many
+    grouped = few.groupBy("id").count()
+    assert spread(grouped) is grouped

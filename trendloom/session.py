@@ -60,7 +60,10 @@ def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many partitions as there are cores.
 
     For work that costs far more than moving its rows, where few files or row groups would leave
-    cores idle. Where the scan has partitions enough, nothing is shuffled.
+    cores idle. Where the scan has partitions enough, nothing is shuffled; a plan that shuffles
+    already is left as it is (to ask it for its partitions would run it).
     """
+    if "Adaptive" in df._jdf.queryExecution().executedPlan().nodeName():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
