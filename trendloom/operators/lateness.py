@@ -143,20 +143,19 @@ class FingerTree:
                 yield from self.items(k)
 
 
-def _replay(period_ms: int, on_time_us: int, cutoff_us: int):
-    """Records of one shard of event time through a tree, in order of arrival."""
+def _replay(period_ms: int, cutoff_us: int):
+    """Partials of one shard of event time through a tree, in order of arrival."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "batch", "low"], kind="stable")
+        pdf = pdf.sort_values(["at", "batch", "key"], kind="stable")
         tree = FingerTree()
         out: dict[tuple, list] = {}
         # a null batch has become the lowest long, which no batch has
-        for pane, batch, at, low, high, n in zip(*(pdf[c].tolist() for c in ("pane", "batch", "at", "low", "high", "n")), strict=True):
+        for pane, batch, at, key, late, n in zip(*(pdf[c].tolist() for c in ("pane", "batch", "at", "key", "late", "n")), strict=True):
             tree.evict(-((cutoff_us - at) // 1000), period_ms)  # the lowest whole millisecond that is not beyond the cut-off
             period = pane // period_ms * period_ms
             before = tree.total(period, period + period_ms)
-            late = at - high * 1000 > on_time_us
-            added = n if tree.add(low, n) else 0
+            added = n if tree.add(key, n) else 0
             row = out.setdefault((period, batch), [0, before, 0, 0, False])
             row[0] += added
             row[2] = before + added
@@ -192,8 +191,10 @@ def late_corrections(
     the partials of their ancestors; the cut-off of each arrival evicts older subtrees in
     bulk and turns away what would fall into them. Time is split into shards of `shard_ms`,
     each with its own tree: a period lies in one shard. Before the shuffle, events of one
-    pane, arrival and batch that lie on the same side of both limits become one partial, so
-    a hot period or batch sends as many rows as it has panes and arrivals, not events.
+    batch, pane of event time and pane of arrival that lie on the same side of both limits
+    become one partial, so a tree takes as many as there are panes and batches, however many
+    events there are. A partial stands for its events exactly: within the cut-off it arrives
+    with its first event and has the earliest event time, beyond it with its last and the latest.
 
     `shard_ms` must be a multiple of `period_ms`, and that of `pane_ms`. Events without a
     time or an arrival do not count; a null batch is a batch of its own; arrival before the
@@ -212,12 +213,13 @@ def late_corrections(
             F.when(delay > cutoff_ms * 1000, 2).when(delay > on_time_ms * 1000, 1).otherwise(0).alias("side"),
             t.alias("t"),
         )
-        .groupBy("pane", "batch", "at", "side")
-        .agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("n"))
+        .groupBy("pane", "batch", F.floor(F.col("at") / (pane_ms * 1000)).alias("arrival"), "side")
+        .agg(F.min("t").alias("low"), F.max("t").alias("high"), F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
+        .select("pane", "batch", F.expr("if(side = 2, last, first)").alias("at"), F.expr("if(side = 2, high, low)").alias("key"), F.expr("side = 1").alias("late"), "n")
     )
     out = (
         partial.withColumn("shard", F.floor(F.col("pane") / shard_ms))
         .groupBy("shard")
-        .applyInPandas(_replay(period_ms, on_time_ms * 1000, cutoff_ms * 1000), _CORRECTIONS)
+        .applyInPandas(_replay(period_ms, cutoff_ms * 1000), _CORRECTIONS)
     )
     return out.withColumn("batch_id", F.when(F.col("batch_id") != -(2**63), F.col("batch_id")))
