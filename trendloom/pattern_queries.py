@@ -17,7 +17,7 @@ from trendloom.operators.enrich import entities, features, risk, trends
 from trendloom.plans.match import match, path_text
 from trendloom.plans.spec import QuerySpec, Registry, latest_versions
 from trendloom.plans.walk import walk_rejects
-from trendloom.session import settle
+from trendloom.session import settle, spread
 from trendloom.tables import table
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -33,7 +33,7 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return from_activity(table(spark, d, "events"))
+    return from_activity(spread(table(spark, d, "events")))
 
 
 def spec(pattern: str, within_ms: int, **more: object) -> QuerySpec:
