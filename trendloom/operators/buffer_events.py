@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.functions.predicates import field
+
 
 def type_key(event_type: Column) -> Column:
     """`event_type` reduced to its letters and digits, in lower case."""
@@ -23,6 +27,8 @@ def canonical_events(
     key: str = "partition_key",
     event_type: str | None = "event_type",
     time_ms: str = "event_time_ms",
+    fields: Sequence[str] = (),
+    arrival: Sequence[str] = ("ingested_at", "batch_id"),
 ) -> DataFrame:
     """One row (event_id, k, t, type_key) for each event, however often it was delivered.
 
@@ -33,6 +39,11 @@ def canonical_events(
     are not read. An empty table gives no rows.
 
     With `event_type=None` the type is neither checked nor kept.
+
+    `fields` are carried along: columns of their own, else fields of the JSON text `payload`, at
+    its top or in its `attributes`, as text. Of an event's copies the one that arrived last (by
+    `arrival`, nulls first, then by value) among those that fill the field counts; an empty text
+    is no value.
     """
     rows = df.where(F.col(event_id).isNotNull() & (F.col(key) != "") & (F.col(time_ms) > 0))
     cols = [
@@ -40,6 +51,12 @@ def canonical_events(
         F.col(key).cast("string").alias("k"),
         F.col(time_ms).cast("long").alias("t"),
     ]
-    if event_type is None:
+    if event_type is not None:
+        rows = rows.where(F.col(event_type) != "")
+        cols.append(type_key(F.col(event_type)).alias("type_key"))
+    if not fields:
         return rows.select(*cols).distinct()
-    return rows.where(F.col(event_type) != "").select(*cols, type_key(F.col(event_type)).alias("type_key")).distinct()
+    held = [F.nullif(F.coalesce(field(rows, f), field(rows, f"attributes.{f}")).cast("string"), F.lit("")).alias(f"_f{i}") for i, f in enumerate(fields)]
+    carried = rows.select(*cols, *held, F.struct(*arrival).alias("_at"))
+    last = [F.max_by(f"_f{i}", F.when(F.col(f"_f{i}").isNotNull(), F.struct("_at", f"_f{i}"))).alias(f) for i, f in enumerate(fields)]
+    return carried.groupBy(*(c for c in carried.columns if not c.startswith("_"))).agg(*last)

@@ -543,16 +543,36 @@ add(
 )
 
 
-def _registry_trends(spark: SparkSession, d: str) -> DataFrame:
-    """All enabled queries of the registry table over the buffer's events, types without regard to spelling."""
+def _registry(spark: SparkSession, d: str) -> Registry:
+    """The registry table with its types spelled as type keys; all else as it stands there."""
     from dataclasses import replace
 
-    from trendloom.operators.buffer_events import canonical_events
+    def spelled(rules: tuple) -> tuple:
+        return tuple(replace(r, event_type=r.event_type and r.event_type.lower()) for r in rules)
+
+    def absences(q: QuerySpec) -> tuple:
+        return tuple(replace(a, event_type=a.event_type.lower(), where=spelled(a.where)) for a in q.absence)
+
+    return Registry(tuple(replace(q, pattern=q.pattern.lower(), where=spelled(q.where), absence=absences(q)) for q in Registry.from_table(table(spark, d, "cet_query_registry_v4")).queries))
+
 
-    buffer = canonical_events(table(spark, d, "cet_event_buffer_v5")).select("event_id", F.col("k").alias("partition_key"), F.col("type_key").alias("event_type"), F.col("t").alias("event_time_ms"))
-    buffer = settle(buffer, "events")  # seven plans read it
-    plain = Registry(tuple(replace(q, pattern=q.pattern.lower(), relations=()) for q in Registry.from_table(table(spark, d, "cet_query_registry_v4")).queries))
-    return run(buffer, plain).groupBy("query_id", "query_version").agg(F.count(F.lit(1)).alias("n_trends"), F.count_distinct("partition_key").alias("n_keys"), F.max("event_count").alias("longest"))
+def _buffer(spark: SparkSession, d: str, registry: Registry) -> DataFrame:
+    """The buffer's events of the types that enabled queries name, with the fields of their relations and conditions."""
+    from trendloom.operators.buffer_events import canonical_events, type_key
+
+    queries = registry.enabled()
+    rules = [r for q in queries for r in (*q.relations, *q.where, *(w for a in q.absence for w in a.where))]
+    fields = tuple(dict.fromkeys(r.field for r in rules))
+    types = sorted({t for q in queries for t in q.types()})
+    rows = table(spark, d, "cet_event_buffer_v5").where(type_key(F.col("event_type")).isin(types))
+    return canonical_events(rows, fields=fields).select("event_id", F.col("k").alias("partition_key"), F.col("type_key").alias("event_type"), F.col("t").alias("event_time_ms"), *(F.col(f"`{f}`") for f in fields))
+
+
+def _registry_trends(spark: SparkSession, d: str) -> DataFrame:
+    """All enabled queries of the registry table, relations included, over the buffer's events, types without regard to spelling."""
+    registry = _registry(spark, d)
+    buffer = settle(_buffer(spark, d, registry), "events")  # seven plans read it
+    return run(buffer, registry).groupBy("query_id", "query_version").agg(F.count(F.lit(1)).alias("n_trends"), F.count_distinct("partition_key").alias("n_keys"), F.max("event_count").alias("longest"))
 
 
 add("registry_trends", _registry_trends)
