@@ -167,3 +167,10 @@ def test_run_scores(spark):
     assert (t["risk_score"], t["severity"], t["event_count"], t["path"]) == (82.0, "high", 3, [1, 2, 3])
     r = Registry.of([{"id": "x", "pattern": "AuthFail", "within_ms": 1, "severity": "critical", "score": {"boost": 50}}])
     assert run(e, r).first()["risk_score"] == 100.0
+
+
+def test_graph_walks_of_any_length(spark, chain):
+    events = chain(" ".join(f"{i}A" for i in range(1, 20)) + " 20B")
+    q = QuerySpec.of({"id": "q", "pattern": "A,B", "within_ms": 1000})
+    got = {len(r["path"]) for r in find(events, q, Options(mode="graph", entity_keys=())).collect()}
+    assert got == set(range(2, 21))

@@ -20,13 +20,13 @@ MODES = ("standing", "walk", "graph")
 
 @dataclass(frozen=True)
 class Options:
-    """How to run: the match mode, which entity fields make edges, and how far paths go in a graph."""
+    """How to run: the match mode, which entity fields make edges, and how far paths go in a graph (None: as far as the window)."""
 
     mode: str = "standing"
     plan: str = "auto"
     entity_keys: tuple[str, ...] = tuple(RELATIONS)
     max_gap_ms: int | None = None
-    max_length: int = 16
+    max_length: int | None = None
     criticality: str | None = "asset_criticality"
     fields: tuple[str, ...] = field(default=())
 

@@ -263,6 +263,18 @@ r AS (SELECT partition_key, event_id AS at, event_time_ms AS t0, event_id::varch
   UNION SELECT r.partition_key, h.dst, r.t0, r.path || ',' || h.dst, r.len + 1, h.event_type = 'purchase' FROM r JOIN h ON h.src = r.at WHERE NOT r.done AND r.len < 5 AND h.event_time_ms - r.t0 <= {12 * HOUR})
 SELECT DISTINCT partition_key, path FROM r WHERE done""",
 )
+# the same question without a greatest length: the window ends every walk
+_WHOLE = Options(mode="graph", entity_keys=KEYS, max_gap_ms=6 * HOUR)
+add(
+    "graph_walk_whole",
+    lambda s, d: shown(find(events(s, d), spec("click,purchase", 12 * HOUR), _WHOLE)),
+    f"""WITH RECURSIVE {C}, f AS (SELECT * FROM c WHERE event_type IN ('click', 'purchase')),
+x(src, dst, relation, a, z) AS ({T_EDGES.replace("{c}", "f")} UNION ALL {E_EDGES.replace("{c}", "f")} UNION ALL SELECT * FROM ({P_EDGES.replace("{c}", "f")})),
+h AS (SELECT DISTINCT src, dst, b.event_type, b.event_time_ms FROM x JOIN f b ON b.event_id = dst WHERE src <> dst AND z - a <= {6 * HOUR}),
+r AS (SELECT partition_key, event_id AS at, event_time_ms AS t0, [event_id] AS path, false AS done FROM f WHERE event_type = 'click'
+  UNION SELECT r.partition_key, h.dst, r.t0, list_append(r.path, h.dst), h.event_type = 'purchase' FROM r JOIN h ON h.src = r.at WHERE NOT r.done AND NOT list_contains(r.path, h.dst) AND h.event_time_ms - r.t0 <= {12 * HOUR})
+SELECT DISTINCT partition_key, array_to_string(path, ',') AS path FROM r WHERE done""",
+)
 
 # enrichment
 FULL = ("user_id", "host_id", "session_id", "asset_id", "asset_criticality")

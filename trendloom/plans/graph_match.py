@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +14,17 @@ from trendloom.plans.walk import walk_steps
 from trendloom.session import settle
 
 
-def match_graph(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = (), max_length: int = 16, settle_every: int = 1) -> DataFrame:
+def match_graph(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = (), max_length: int | None = None, settle_every: int = 1) -> DataFrame:
     """All walks (partition_key, path, matched) along edges (src, dst, window_start_ms, window_end_ms), each once.
 
     As walks over consecutive events, but the next event is any that an edge leads to: of the
     awaited type it moves the pattern on, else it is only put on the path. Its time must not be
     before that of the event before or of the first, nor more than `within_ms` after the first;
     where an edge has a window, both ends must lie in it. Parallel edges give a path once.
-    `matched` holds the events that took a step. Paths end at `max_length` events: a graph has
-    as many paths as it likes, so this is a parameter of the question. partition_key is that of
-    the first event. Edges to unknown events lead nowhere.
+    `matched` holds the events that took a step. Without `max_length` the frontier runs until it
+    is empty, and a path holds no event twice (events of one time may lie on a cycle). With it,
+    longer paths are left out: a parameter of the question. partition_key is that of the first
+    event. Edges to unknown events lead nowhere.
 
     Plan: one join of the frontier with the edges per level, on the source event; edges carry
     their target, so the frontier alone moves. Each level is written down (every `settle_every` levels, if larger), so that no level is worked out twice.
@@ -42,8 +44,10 @@ def match_graph(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tu
     frontier = first.select("partition_key", F.col("node").alias("at"), F.lit(1).alias("step"), F.array("ev").alias("path"), F.array("ev").alias("matched"))
     done = [frontier.where(F.col("step") == len(steps))]
     frontier = frontier.where(F.col("step") < len(steps))
-    for level in range(1, max_length):
+    for level in count(1) if max_length is None else range(1, max_length):
         reached = frontier.join(hops, frontier["at"] == hops["src"]).where(F.col("next")["t"] - F.col("path")[0]["t"] <= spec.within_ms)
+        if max_length is None:
+            reached = reached.where(~F.array_contains(F.transform("path", lambda e: e["id"]), F.col("next")["id"]))
         awaited = F.element_at(F.array(*(F.lit(n) for n, _ in steps)), F.col("step") + 1)
         repeats = F.element_at(F.array(*(F.lit(k) for _, k in steps)), F.col("step") + 1)
         fits = F.col("next")["y"] == awaited
@@ -55,7 +59,7 @@ def match_graph(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tu
             F.concat("path", F.array("next")).alias("path"),
             F.when(fits, F.concat("matched", F.array("next"))).otherwise(F.col("matched")).alias("matched"),
         ).distinct()
-        if level % settle_every == 0 or level == max_length - 1:
+        if level % settle_every == 0 or level + 1 == max_length:
             moved = settle(moved, "frontier")
             done.append(moved.where(F.col("step") == len(steps)))
             frontier = moved.where(F.col("step") < len(steps))
