@@ -6,7 +6,7 @@ from email.mime.text import MIMEText
 
 import pytest
 
-from trendloom.llm.leaks import leaked_items, reparameterised_items, words
+from trendloom.llm.leaks import context_kinds, leaked_items, reparameterised_items, words
 from trendloom.llm.mailparts import html_text, shown_parts
 
 
@@ -120,3 +120,22 @@ def test_other_parameters(spark):
     assert (1, 7) not in got and (4, 7) not in got
     assert got[2, 7][0] > got[2, 7][1] > 0  # windows without slots stay as they are
     assert got[3, 7] == (2, 23)  # two windows hold the second word
+
+
+def test_parameters_that_no_item_holds(spark):
+    item = "Today the keeper Alice carried seven pints of lunar ember past the mill while her friend Bob counted seven pints of drum oil and slept."
+    changed = item.replace("Alice", "Zuleika").replace("Bob", "Yorick").replace("pints", "litres").replace("seven", "forty")
+    odd = item.replace("pints", "firkins")
+    wrapped = changed.replace("while her ", "while\n> her ")
+    loose = changed.replace("mill", "barn")
+    docs = [(1, item), (2, changed), (3, odd), (4, wrapped), (5, item.replace("mill", "barn").replace("carried", "held")), (6, loose)]
+    d = spark.createDataFrame([(i, f"Subject: x\n\nHello. {t}") for i, t in docs], "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["n_changed"], r["n_same"]) for r in reparameterised_items(d, i).collect()}
+    assert set(got) == {2, 3, 4}
+    assert got[2] == got[4] == (13, 0)
+
+
+def test_context_has_the_words_of_a_text():
+    for text in ("The “Quick”, bro­wn_fox; Кит КИТ ｆｏｘ résumé STRASSE straße 12²", "ǰx ŉa İstanbul aͅb", "", " . ", "No. Go _on"):
+        assert context_kinds(text)[0] == words(text.replace("ͅ", "ι"))

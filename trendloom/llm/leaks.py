@@ -96,6 +96,53 @@ class Lexicon:
         return NUMBER if word in _NUMBERS or word[0].isdigit() else UNIT if word in self.units else NAME if word in self.names else 0
 
 
+# Words for units, besides those that follow a number.
+UNIT_WORDS = """
+metre metres meter meters kilometre kilometres kilometer kilometers centimetre centimetres centimeter centimeters millimetre millimetres millimeter millimeters
+mile miles yard yards foot feet inch inches litre litres liter liters millilitre millilitres milliliter milliliters pint pints quart quarts gallon gallons barrel barrels
+gram grams gramme grammes kilogram kilograms kilo kilos milligram milligrams tonne tonnes ton tons ounce ounces pound pounds stone stones acre acres hectare hectares
+second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros pence penny pennies
+km cm mm ml kg mg lb lbs oz ft yd hr hrs min mins sec secs
+"""
+
+_UNITS = frozenset(words(UNIT_WORDS))
+_TOKEN = re.compile(r"([^\W_]*)([\W_]*)")
+
+
+_STOP = re.compile("[.!?:]")
+_SEEN: dict[str, list[tuple[str, int, bool]]] = {}
+
+
+def _seen(token: str) -> list[tuple[str, int, bool]]:
+    """The words of a token (one, but where folding takes a letter apart): what each is anywhere, and whether it is capitalised."""
+    capital = token[:1].isupper() and not (len(token) > 1 and token.isupper())
+    if len(_SEEN) > 500_000:
+        _SEEN.clear()
+    _SEEN[token] = made = [(w, NUMBER if w in _NUMBERS or w[0].isdigit() else UNIT if w in _UNITS else 0, capital) for w in _WORD.findall(token.casefold())]
+    return made
+
+
+def context_kinds(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text, and the placeholder of each (0 for none) by where it stands.
+
+    Numbers are digits and number words; units words of a fixed list and words that follow a
+    number; names words capitalised (but not in capitals) inside a sentence, which ends at a
+    mark . ! ? : or at the end of the text. Line ends and quote marks end none. A name that
+    begins a sentence stays a word.
+    """
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", skeleton(text)).translate(_CASES).replace("\u0345", "ι")
+    found, kinds, inside, after = [], [], False, False
+    for token, gap in _TOKEN.findall(text):
+        for w, own, capital in _SEEN.get(token) or _seen(token):
+            kinds.append(own or (UNIT if after else NAME if inside and capital else 0))
+            found.append(w)
+            after = own == NUMBER
+        if token or gap:
+            inside = (bool(token) or inside) and (gap == " " or not _STOP.search(gap))
+    return found, kinds
+
+
 class Templates:
     """Texts as template codes and slot codes; words outside a given vocabulary may be left open."""
 
@@ -122,6 +169,32 @@ class Templates:
         return both[:, 0], both[:, 1]
 
 
+class ContextTemplates(Templates):
+    """Templates whose placeholders come from each text's own context, whatever words the items use."""
+
+    def __init__(self, vocabulary: frozenset[str] | None) -> None:
+        super().__init__(Lexicon(frozenset(), frozenset()), vocabulary)
+
+    def _codes(self, word: str) -> tuple[int, int]:
+        """The word's code as a word of the template, and in a slot."""
+        code = _code(word)
+        made = (0 if self.vocabulary is not None and word not in self.vocabulary else code, code)
+        if len(self.known) > 500_000:
+            self.known.clear()
+        self.known[word] = made
+        return made
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        known, codes = self.known, self._codes
+        pairs = [(k, (known.get(w) or codes(w))[1]) if k else ((known.get(w) or codes(w))[0], 0) for w, k in zip(*context_kinds(text), strict=True)]
+        both = np.array(pairs, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+
+def _templates(lexicon: Lexicon | None, vocabulary: frozenset[str] | None) -> Templates:
+    return ContextTemplates(vocabulary) if lexicon is None else Templates(lexicon, vocabulary)
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,17 +239,18 @@ def _rows(ids: list[int], part: list[int], pos: list[np.ndarray], hashes: list[n
 _WINDOW = "id bigint, part int, pos int, template bigint, slots array<bigint>"
 
 
-def template_windows(texts: DataFrame, *, text_id: str, text: str, lexicon: Lexicon, width: int, mails: bool, vocabulary: frozenset[str] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
+def template_windows(texts: DataFrame, *, text_id: str, text: str, lexicon: Lexicon | None, width: int, mails: bool, vocabulary: frozenset[str] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
     """Windows (id, part, pos, template, slots) of `width` words, all of them or those `wanted`.
 
     `template` is the hash of the words with placeholders for numbers, units and names, `slots`
-    the words in the placeholders. Null texts have no windows.
+    the words in the placeholders. Without a lexicon each text's own context decides. Null
+    texts have no windows.
     """
     held = texts.sparkSession.sparkContext.broadcast((lexicon, vocabulary, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, vocab, only = held.value
-        templates = Templates(lex, vocab)
+        templates = _templates(lex, vocab)
         for b in batches:
             ids, parts, poss, hashes, slots = [], [], [], [], []
             for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
@@ -204,7 +278,7 @@ def template_windows(texts: DataFrame, *, text_id: str, text: str, lexicon: Lexi
     return (spread(rows) if mails else rows).mapInArrow(run, _WINDOW)
 
 
-def leak_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, mails: bool = True, held_chars: int = 50_000_000) -> DataFrame:
+def leak_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, mails: bool = True, held_chars: int = 50_000_000, context: bool = False) -> DataFrame:
     """Windows that documents and items share as templates: (doc_id, part, pos, item_id, item_pos, same, consistent).
 
     Method: numbers, units and names become typed placeholders; windows of `width` template
@@ -213,6 +287,9 @@ def leak_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     everywhere replaced by one word and none serves for two, so the passage is the item with
     other parameters. Mails are taken apart into the parts a reader sees; a window lies in one.
 
+    Placeholders come from a lexicon of the items' own units and names, or with `context` from
+    where a word stands in its own text (`context_kinds`), the same rule for documents and items.
+
     Items of up to `held_chars` characters in all (checked) are known to every task, which then
     sends only windows that some item has; beyond that size all windows are joined by shuffle.
     Only the lexicon of units and names is then fitted on a bounded part of the items.
@@ -221,11 +298,11 @@ def leak_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     total = usable.agg(F.sum(F.length(item_text))).first()[0] or 0
     small = total <= held_chars
     texts = [r[0] for r in (usable if small else usable.orderBy(item_id).limit(20_000)).select(item_text).collect()]
-    lexicon = Lexicon.of(texts)
+    lexicon = None if context else Lexicon.of(texts)
     known = wanted = None
     if small:
         known = frozenset(w for t in texts for w in words(t))
-        templates = Templates(lexicon, None)
+        templates = _templates(lexicon, None)
         parts = [window_hashes(templates.of(t)[0], width) for t in texts]
         wanted = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
         if not len(wanted):
@@ -248,8 +325,11 @@ def reparameterised_items(docs: DataFrame, items: DataFrame, **options: object)
     """(doc_id, item_id, n_changed, n_same): the item's template stands there with other parameters.
 
     n_changed counts the windows whose slots hold other words throughout, n_same those that are
-    word for word (0 where nothing of the item is literal).
+    word for word (0 where nothing of the item is literal). Placeholders are decided both by the
+    items' lexicon, which also knows words out of context (all in small letters, say), and by
+    context, which knows words that no item uses; a window counts once.
     """
     changed, same = (F.col("consistent") & ~F.col("same")).cast("long"), F.col("same").cast("long")
-    found = leak_windows(docs, items, **options).groupBy("doc_id", "item_id").agg(F.sum(changed).alias("n_changed"), F.sum(same).alias("n_same"))
+    both = leak_windows(docs, items, **options).unionByName(leak_windows(docs, items, context=True, **options)).distinct()
+    found = both.groupBy("doc_id", "item_id").agg(F.sum(changed).alias("n_changed"), F.sum(same).alias("n_same"))
     return found.where("n_changed > 0")
