@@ -222,8 +222,15 @@ COLS = ("src", "dst", "relation", "window_start_ms", "window_end_ms")
 edges_sql = lambda body, more="": f"WITH {C}, x(src, dst, relation, window_start_ms, window_end_ms) AS ({body.replace('{c}', 'c')}) SELECT DISTINCT * FROM x WHERE dst IS NOT NULL AND src <> dst{more}"
 add("edges_temporal", lambda s, d: graph.temporal_edges(events(s, d)).select(*COLS), edges_sql(T_EDGES))
 add("edges_entity", lambda s, d: graph.entity_edges(events(s, d), KEYS).select(*COLS), edges_sql(E_EDGES))
+# every entity field that the events fill: the operator's default keys
+E_ALL = E_EDGES + "".join(
+    f" UNION ALL SELECT event_id, lead(event_id) OVER w, '{r}', event_time_ms, lead(event_time_ms) OVER w FROM {{c}} WHERE {f} IS NOT NULL AND {f}::varchar <> '' WINDOW w AS (PARTITION BY {f} ORDER BY event_time_ms, event_id)"
+    for f, r in (("user_id", "same_user"), ("process_id", "same_process"))
+)
+add("edges_entity_all", lambda s, d: graph.entity_edges(events(s, d)).select(*COLS), edges_sql(E_ALL))
 add("edges_parent_asof", lambda s, d: graph.parent_edges(events(s, d)).select(*COLS), edges_sql(P_EDGES))
 add("edges_max_gap", lambda s, d: graph.event_graph(events(s, d), KEYS, HOUR).select(*COLS), edges_sql(f"{T_EDGES} UNION ALL {E_EDGES} UNION ALL SELECT * FROM ({P_EDGES})", f" AND window_end_ms - window_start_ms <= {HOUR}"))
+add("edges_max_gap_all", lambda s, d: graph.event_graph(events(s, d), max_gap_ms=HOUR).select(*COLS), edges_sql(f"{T_EDGES} UNION ALL {E_ALL} UNION ALL SELECT * FROM ({P_EDGES})", f" AND window_end_ms - window_start_ms <= {HOUR}"))
 add(
     "edges_all_pairs",
     lambda s, d: graph.all_pair_edges(events(s, d), "session_id", 6 * HOUR).select(*COLS),
@@ -352,6 +359,12 @@ def _evidence_edges(spark: SparkSession, d: str) -> DataFrame:
 
 add("path_edge_evidence", _evidence_edges, f"WITH {C}, x(src, dst, relation, a, z) AS ({E_EDGES.replace('{c}', 'c')}), {T3}, p AS (SELECT trend_id, 0::bigint AS ordinal, e0 AS src, e1 AS dst FROM t UNION ALL SELECT trend_id, 1, e1, e2 FROM t) SELECT DISTINCT trend_id, ordinal, p.src, p.dst, relation FROM p JOIN x ON x.src = p.src AND x.dst = p.dst")
 
+def _evidence_all(spark: SparkSession, d: str) -> DataFrame:
+    return graph.path_edges(_trends(spark, d).select("trend_id", F.col("path").alias("ids")), graph.event_graph(events(spark, d))).drop("evidence")
+
+
+add("path_edge_evidence_all", _evidence_all, f"WITH {C}, x(src, dst, relation, a, z) AS ({T_EDGES.replace('{c}', 'c')} UNION ALL {E_ALL.replace('{c}', 'c')} UNION ALL SELECT * FROM ({P_EDGES.replace('{c}', 'c')})), {T3}, p AS (SELECT trend_id, 0::bigint AS ordinal, e0 AS src, e1 AS dst FROM t UNION ALL SELECT trend_id, 1, e1, e2 FROM t) SELECT DISTINCT trend_id, ordinal, p.src, p.dst, relation FROM p JOIN x ON x.src = p.src AND x.dst = p.dst")
+
 # several queries, comparisons
 REGISTRY = Registry.of(
     [
