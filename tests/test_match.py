@@ -170,7 +170,7 @@ def test_run_scores(spark):
 
 
 def test_graph_walks_of_any_length(spark, chain):
-    events = chain(" ".join(f"{i}A" for i in range(1, 20)) + " 20B")
+    events = chain(" ".join(f"{i}A" for i in range(1, 20)) + " 20B").selectExpr("*", "'u' AS user_id", "'h' AS host_id")
     q = QuerySpec.of({"id": "q", "pattern": "A,B", "within_ms": 1000})
-    got = {len(r["path"]) for r in find(events, q, Options(mode="graph", entity_keys=())).collect()}
+    got = {len(r["path"]) for r in find(events, q, Options(mode="graph")).collect()}
     assert got == set(range(2, 21))
