@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trendloom.llm.byte_pairs import encode_texts
 from trendloom.llm.leaks import leaked_items, reparameterised_items
-from trendloom.llm.lookalike import canonical_texts, look_pairs
+from trendloom.llm.lookalike import canonical_texts, look_classes, look_pairs
 from trendloom.llm.runs import buffer_blocks, collapse_runs
 from trendloom.llm.subsequences import frequent_triples
 from trendloom.operators.buffer_events import canonical_events, is_event, type_key
@@ -53,7 +53,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return look_pairs(canonical_texts(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p7_found, p7_longest_runs, p8_ids, p9_found, p9_reparameterised, p10_found)}
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that look like others stored otherwise: class and number of links, one row for each."""
+    return look_classes(canonical_texts(table(spark, d, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p7_found, p7_longest_runs, p8_ids, p9_found, p9_reparameterised, p10_found, p10_classes)}
 
 _RUNS = """WITH ev AS (
   SELECT DISTINCT event_id, partition_key AS k, event_time_ms AS t, lower(regexp_replace(event_type, '[^\\p{L}\\p{N}]', '', 'g')) AS type_key
