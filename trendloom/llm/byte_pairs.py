@@ -6,6 +6,7 @@ import base64
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,61 +20,130 @@ TOKENIZERS = "/opt/tokenizers"
 # Fixed value: how the vocabulary's texts are cut before merging (the published pattern).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: A blank between two characters that are no white space: a piece always ends before it, whatever
-#: stands around, because no piece holds a blank after another character.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Places where a piece of the pattern ends whatever stands around: before white space after another character (no piece
+#: holds white space after one), between letters and digits, and between one of these and a sign (signs before letters are
+#: no cut, as an apostrophe goes with some). Only characters that all versions of Unicode class alike are looked at.
+_CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
+#: Runs inside a piece: letters (of blocks that hold nothing else), digits, signs but the apostrophe, white space.
+_RUNS = [re.compile(f"[{x}]*") for x in ("A-Za-zÀ-ÖØ-öø-ɏЁА-яё\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3", "0-9", r"!-&(-/:-@\[-`{-~", r" \t\r\n")]
+#: Long runs of white space, which the pattern's library can't take at once.
+_LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+#: Bytes at the ends of a run that may belong to another piece: a contraction, the last blank before a word.
+_MARGIN = 16
 
 
 class BytePairs:
     """A vocabulary, and texts as values of a monoid: `node(a + b) == join(node(a), node(b))`.
 
     A node is a text with its ids. Two are joined by re-encoding a window around their
-    boundary. The window ends at cuts, places where a piece ends whatever stands around, so
-    that all ids outside it provably are those of the whole text; while a side has no cut the
-    window grows, at last to the whole side.
+    boundary, until all ids outside it provably are those of the whole text:
+
+    - The window ends at cuts, places where a piece of the pattern ends whatever stands around.
+      While a side has none near, the window grows.
+    - Inside a long piece (a run of letters, digits or signs) it ends at tokens and doubles until
+      the pairs at both of its ends are stable: two neighbours are what their own bytes are encoded
+      as. A sequence all of whose neighbours are stable is the encoding of its bytes, since merges
+      go by rank: the first merge that differed would change some pair of neighbours by itself.
     """
 
-    def __init__(self, ranks_file: str, leaf_chars: int = 4_096, window_chars: int = 64) -> None:
+    def __init__(self, ranks_file: str, leaf_chars: int = 256, window_chars: int = 16) -> None:
         import tiktoken
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding(os.path.basename(ranks_file), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.token_bytes = {i: t for t, i in ranks.items()}
+        self.lengths = {i: len(t) for t, i in ranks.items()}
         self.leaf_chars, self.window_chars = leaf_chars, window_chars
-        self.widest = 0
-
-    def leaf(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), np.int64)
-
-    def join(self, left: str, a: np.ndarray, right: str, b: np.ndarray) -> np.ndarray:
-        """Ids of left + right from those of both."""
+        self.joins = self.widest = 0
+
+    def leaf(self, text: str) -> list[int]:
+        if len(text) < 1_000:
+            return self.encoding.encode_ordinary(text)
+        out, done = [], 0
+        for m in _LONG_BLANKS.finditer(text):
+            i, j = m.span()
+            j -= j < len(text)  # the last blank belongs to what follows
+            out += self.encoding.encode_ordinary(text[done:i]) + self._piece(text[i:j].encode())
+            done = j
+        return out + self.encoding.encode_ordinary(text[done:])
+
+    def join(self, left: str, a: list[int], right: str, b: list[int]) -> list[int]:
+        """Ids of left + right from those of both; the list `a` becomes the result."""
         if not left or not right:
             return b if not left else a
+        self.joins += 1
         i, j = self._cut_back(left), self._cut_ahead(right)
         head, tail = left[i:], right[:j]
+        if len(head) + len(tail) > 256:
+            made = self._join_inside(head, a, tail, b)
+            if made is not None:
+                return made
         self.widest = max(self.widest, len(head) + len(tail))
-        kept = len(a) - len(self.encoding.encode_ordinary(head)) if i else 0
-        dropped = len(self.encoding.encode_ordinary(tail)) if j < len(right) else len(b)
-        return np.concatenate([a[:kept], self.leaf(head + tail), b[dropped:]])
+        # tokens of a side before its cut, and after it, end at the cut: count them by their bytes
+        kept, dropped, lengths = len(a), 0, self.lengths
+        size = len(head.encode())
+        while size > 0:
+            kept -= 1
+            size -= lengths[a[kept]]
+        size = len(tail.encode())
+        while size > 0:
+            size -= lengths[b[dropped]]
+            dropped += 1
+        del a[kept:]
+        a += self.leaf(head + tail)
+        a += islice(b, dropped, None)
+        return a
 
     def _cut_back(self, text: str) -> int:
-        """The last cut found in growing windows from the end, 0 if there is none."""
+        """The last cut, looked for in growing windows from the end, 0 if there is none."""
         size = self.window_chars
-        while size < len(text):
-            low = len(text) - size
-            # one character more on either side is looked at, so a cut at the window's edge counts
-            cuts = [m.start() for m in _CUT.finditer(text, low)]
-            if cuts:
-                return cuts[-1]
+        while True:
+            low = max(0, len(text) - size)
+            last = 0
+            for m in _CUT.finditer(text, low):
+                last = m.start()
+            if last or not low:
+                return last
             size *= 2
-        cuts = [m.start() for m in _CUT.finditer(text)]
-        return cuts[-1] if cuts else 0
 
     def _cut_ahead(self, text: str) -> int:
         m = _CUT.search(text)
         return m.start() if m else len(text)
 
-    def encode(self, text: str) -> np.ndarray:
+    def _join_inside(self, head: str, a: list[int], tail: str, b: list[int]) -> list[int] | None:
+        """The join inside a piece that reaches far into both sides; None where the window would leave the piece."""
+        mirrored = head[::-1]
+        for run in _RUNS:
+            before, after = run.match(mirrored)[0], run.match(tail)[0]
+            if before and after:
+                break
+        else:
+            return None
+        left_room, right_room = len(before.encode()) - _MARGIN, len(after.encode()) - _MARGIN
+        size = 4
+        while size < len(a) and size < len(b):
+            # one more token on either side must lie in the run
+            if sum(self.lengths[x] for x in a[-size - 1 :]) > left_room or sum(self.lengths[x] for x in b[: size + 1]) > right_room:
+                return None
+            window = b"".join(map(self.token_bytes.__getitem__, a[-size:] + b[:size]))
+            made = self._piece(window)
+            self.widest = max(self.widest, len(window))
+            if self._stable(a[-size - 1], made[0]) and self._stable(made[-1], b[size]):
+                del a[-size:]
+                a += made
+                a += islice(b, size, None)
+                return a
+            size *= 2
+        return None
+
+    def _piece(self, piece: bytes) -> list[int]:
+        return self.encoding._encode_single_piece(piece)
+
+    def _stable(self, x: int, y: int) -> bool:
+        return self._piece(self.token_bytes[x] + self.token_bytes[y]) == [x, y]
+
+    def encode(self, text: str) -> list[int]:
         """Ids of a text of any length: halves are encoded recursively and joined."""
         if len(text) <= self.leaf_chars:
             return self.leaf(text)
@@ -81,7 +151,7 @@ class BytePairs:
         left, right = text[:half], text[half:]
         return self.join(left, self.encode(left), right, self.encode(right))
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes of the halves, concatenated up the tree."""
         return self._bytes(list(ids)).decode("utf-8")
 
@@ -102,7 +172,7 @@ def _loaded(*key: object) -> BytePairs:
     return _LOADED[key]
 
 
-def encode_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf_chars: int = 4_096) -> DataFrame:
+def encode_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf_chars: int = 256) -> DataFrame:
     """(doc_id, ids) of every row: the ids of its text, without special tokens.
 
     A null or empty text gives an empty list; blank text is encoded as it is; strings that
@@ -115,7 +185,7 @@ def encode_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _loaded(path, leaf_chars)
         for b in batches:
-            ids = [pairs.encode(t) if t else _NONE for t in b["text"].to_pylist()]
+            ids = [np.array(pairs.encode(t), np.int64) if t else _NONE for t in b["text"].to_pylist()]
             ends = np.cumsum([len(x) for x in ids])
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else _NONE))], ["doc_id", "ids"])
@@ -128,7 +198,7 @@ def decode_ids(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids",
     path = f"{folder}/{vocabulary}.tiktoken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _loaded(path, 4_096)
+        pairs = _loaded(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([pairs.decode(x or []) for x in b["ids"].to_pylist()], pa.string())], ["doc_id", "text"])
 

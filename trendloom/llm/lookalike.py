@@ -78,8 +78,8 @@ class Shapes(dict):
 
 
 class _Kinds(dict):
-    """A table for str.translate: `t` for a character that shows letters and accents only, `i` for an invisible one, `s` for one
-    that shows none of these, `x` for one that shows both."""
+    """A table for str.translate: `t` for a character that shows letters and accents only (`a`: of ASCII), `i` for an invisible
+    one, `s` for one that shows none of these, `x` for one that shows both."""
 
     def __init__(self, shapes: Shapes) -> None:
         super().__init__()
@@ -87,7 +87,7 @@ class _Kinds(dict):
 
     def __missing__(self, c: int) -> str:
         letters = {unicodedata.category(y)[0] in "LM" for y in self.shapes[c]}
-        self[c] = made = "i" if not letters else "x" if len(letters) > 1 else "t" if True in letters else "s"
+        self[c] = made = "i" if not letters else "x" if len(letters) > 1 else "s" if False in letters else "a" if c < 128 else "t"
         return made
 
 
@@ -215,7 +215,8 @@ class SpellingTrie:
 
 
 _ORDINARY = Shapes({ord(x): (x,) for others in SAME_SHAPE.values() for x in others})
-_TOKEN = re.compile("[ti]+")
+#: Tokens by the kinds of their characters: those of ASCII letters alone are their own spelling.
+_TOKEN = re.compile("a*[ti][ati]*")
 
 
 class Canonical:
@@ -266,7 +267,8 @@ class Canonical:
                 between = text[done:i]
                 out.append(between if between.isascii() else between.translate(shapes))
             part = text[i:j]
-            out.append(part if part.isascii() else known[part] if part in known else token(part))
+            made = known.get(part)
+            out.append(token(part) if made is None else made)
             done = j
         out.append(text[done:].translate(shapes))
         return unicodedata.normalize("NFC", "".join(out))
