@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trendloom.llm.lookalike import LOOKS, skeleton
 from trendloom.llm.mailparts import shown_parts
-from trendloom.session import spread
+from trendloom.session import settle, spread
 
 # Number words.
 NUMBER_WORDS = """
@@ -77,25 +77,44 @@ class Lexicon:
     that stand capitalised inside a sentence, both as the evaluation items use them.
     """
 
-    units: frozenset[str]
-    names: frozenset[str]
+    units: frozenset[str] = frozenset()
+    names: frozenset[str] = frozenset()
 
     @classmethod
-    def of(cls, items: list[str]) -> Lexicon:
-        after, seen, capital = Counter(), Counter(), Counter()
-        for text in items:
-            ws = words(text)
-            seen.update(ws)
-            after.update(b for a, b in zip(ws[:-1], ws[1:], strict=True) if a in _NUMBERS or a.isdigit())
-            capital.update(w for m in _CAPITAL.finditer(text) if m[1][0].isupper() and not m[1].isupper() for w in words(m[1]))
-        units = frozenset(w for w, n in after.items() if n >= 3 and 2 * n > seen[w] and w not in _NUMBERS)
-        return cls(units, frozenset(w for w, n in capital.items() if 2 * n > seen[w] and w not in units and w not in _NUMBERS))
+    def of(cls, items: DataFrame, *, text: str = "text", most_words: int = 2_000_000) -> Lexicon:
+        """Fitted on all items, by one aggregate over their words; only words that qualify leave it.
+
+        More than `most_words` of these are an error: no language has as many, and a part of them
+        would find other passages than all.
+        """
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                after, seen, capital = Counter(), Counter(), Counter()
+                for t in b["text"].to_pylist():
+                    ws = words(t)
+                    seen.update(ws)
+                    after.update(y for x, y in zip(ws[:-1], ws[1:], strict=True) if x in _NUMBERS or x[0].isdigit())
+                    capital.update(w for m in _CAPITAL.finditer(t) if m[1][0].isupper() and not m[1].isupper() for w in words(m[1]))
+                yield pa.RecordBatch.from_pydict({"w": list(seen), "seen": list(seen.values()), "after": [after[w] for w in seen], "capital": [capital[w] for w in seen]}, schema=_COUNTED)
+
+        counts = items.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInArrow(run, "w string, seen bigint, after bigint, capital bigint")
+        unit = (F.col("after") >= 3) & (2 * F.col("after") > F.col("seen"))
+        found = counts.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("seen", "after", "capital"))).where(unit | (2 * F.col("capital") > F.col("seen"))).select("w", unit.alias("unit"))
+        rows = found.limit(most_words + 1).collect()
+        if len(rows) > most_words:
+            raise ValueError(f"more than {most_words} units and names")
+        usual = [r for r in rows if r["w"] not in _NUMBERS]
+        return cls(frozenset(r["w"] for r in usual if r["unit"]), frozenset(r["w"] for r in usual if not r["unit"]))
 
     def kind(self, word: str) -> int:
         """The placeholder of a word, 0 for none."""
         return NUMBER if word in _NUMBERS or word[0].isdigit() else UNIT if word in self.units else NAME if word in self.names else 0
 
 
+_COUNTED = pa.schema([("w", pa.string()), ("seen", pa.int64()), ("after", pa.int64()), ("capital", pa.int64())])
+
+
 # Words for units, besides those that follow a number.
 UNIT_WORDS = """
 metre metres meter meters kilometre kilometres kilometer kilometers centimetre centimetres centimeter centimeters millimetre millimetres millimeter millimeters
@@ -144,55 +163,25 @@ def context_kinds(text: str) -> tuple[list[str], list[int]]:
 
 
 class Templates:
-    """Texts as template codes and slot codes; words outside a given vocabulary may be left open."""
+    """Texts as template codes and slot codes (0: no slot), by a lexicon and, if asked for, by context as well."""
 
-    def __init__(self, lexicon: Lexicon, vocabulary: frozenset[str] | None) -> None:
-        self.lexicon, self.vocabulary = lexicon, vocabulary
+    def __init__(self, lexicon: Lexicon, context: bool) -> None:
+        self.lexicon, self.context = lexicon, context
         self.known: dict[str, tuple[int, int]] = {}
 
-    def _codes(self, word: str) -> tuple[int, int]:
-        kind = self.lexicon.kind(word)
-        if kind:
-            made = (kind, _code(word))
-        else:
-            made = (0 if self.vocabulary is not None and word not in self.vocabulary else _code(word), 0)
+    def _word(self, word: str) -> tuple[int, int]:
         if len(self.known) > 500_000:
             self.known.clear()
-        self.known[word] = made
+        self.known[word] = made = (_code(word), self.lexicon.kind(word))
         return made
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Template codes (0: open, no window holds it) and slot codes (0: no slot) of the words."""
-        known, codes = self.known, self._codes
-        pairs = [known.get(w) or codes(w) for w in words(text)]
-        both = np.array(pairs, np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
-
-
-class ContextTemplates(Templates):
-    """Templates whose placeholders come from each text's own context, whatever words the items use."""
-
-    def __init__(self, vocabulary: frozenset[str] | None) -> None:
-        super().__init__(Lexicon(frozenset(), frozenset()), vocabulary)
-
-    def _codes(self, word: str) -> tuple[int, int]:
-        """The word's code as a word of the template, and in a slot."""
-        code = _code(word)
-        made = (0 if self.vocabulary is not None and word not in self.vocabulary else code, code)
-        if len(self.known) > 500_000:
-            self.known.clear()
-        self.known[word] = made
-        return made
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        known, codes = self.known, self._codes
-        pairs = [(k, (known.get(w) or codes(w))[1]) if k else ((known.get(w) or codes(w))[0], 0) for w, k in zip(*context_kinds(text), strict=True)]
-        both = np.array(pairs, np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
-
-
-def _templates(lexicon: Lexicon | None, vocabulary: frozenset[str] | None) -> Templates:
-    return ContextTemplates(vocabulary) if lexicon is None else Templates(lexicon, vocabulary)
+    def of(self, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(template, slots) of the words: placeholders by the lexicon, then those by context."""
+        known, word = self.known, self._word
+        ws, own = context_kinds(text) if self.context else (words(text), None)
+        code, kind = np.array([known.get(w) or word(w) for w in ws], np.int64).reshape(-1, 2).T
+        kinds = [kind] if own is None else [kind, np.array(own, np.int64)]
+        return [(np.where(k, k, code), np.where(k, code, 0)) for k in kinds]
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -213,123 +202,123 @@ def window_hashes(template: np.ndarray, width: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _closed(template: np.ndarray, width: int) -> np.ndarray:
-    """Starts of the windows that hold no open word."""
-    n = len(template) - width + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    opened = np.concatenate([[0], np.cumsum(template == 0)])
-    return np.flatnonzero(opened[width:] == opened[:n])
-
-
-def _rows(ids: list[int], part: list[int], pos: list[np.ndarray], hashes: list[np.ndarray], slots: list[np.ndarray], width: int) -> list[pa.Array]:
-    n = [len(p) for p in pos]
-    flat = np.concatenate([s.ravel() for s in slots]) if slots else np.empty(0, np.int64)
-    total = sum(n)
-    offsets = pa.array(np.arange(total + 1, dtype=np.int32) * width)
-    return [
-        pa.array(np.repeat(np.array(ids, np.int64), n)),
-        pa.array(np.repeat(np.array(part, np.int32), n)),
-        pa.array(np.concatenate(pos).astype(np.int32) if pos else np.empty(0, np.int32)),
-        pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64)),
-        pa.ListArray.from_arrays(offsets, pa.array(flat)),
-    ]
-
-
-_WINDOW = "id bigint, part int, pos int, template bigint, slots array<bigint>"
+@dataclass(frozen=True)
+class Windows:
+    """Windows that some text has, as bits by their hash: a filter of bounded size that lets all of them through, and few others."""
 
+    bits: np.ndarray
 
-def template_windows(texts: DataFrame, *, text_id: str, text: str, lexicon: Lexicon | None, width: int, mails: bool, vocabulary: frozenset[str] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
-    """Windows (id, part, pos, template, slots) of `width` words, all of them or those `wanted`.
+    MOST = 1 << 28
 
-    `template` is the hash of the words with placeholders for numbers, units and names, `slots`
-    the words in the placeholders. Without a lexicon each text's own context decides. Null
-    texts have no windows.
+    @classmethod
+    def of(cls, windows: DataFrame, probe: str) -> Windows:
+        """The bitmap is put together by an aggregate; the driver gets its pieces, at most 32 MB in all."""
+        size = 1 << 15
+        n = windows.count()
+        while size < min(16 * n, cls.MOST):
+            size *= 2
+        at = F.pmod(F.col(probe), F.lit(size))
+        pieces = windows.select(F.floor(at / 32_768).cast("int").alias("piece"), (at % 32_768).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+        bits = np.zeros(size // 8, np.uint8)
+        for r in pieces:
+            bits[r["piece"] * 4_096 : (r["piece"] + 1) * 4_096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        return cls(bits)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & (8 * len(self.bits) - 1)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+_LITERAL = "id bigint, part int, pos int, template bigint, slot_key bigint"
+_WITH_SLOTS = "id bigint, part int, pos int, template bigint, slots array<bigint>"
+
+
+def template_windows(texts: DataFrame, *, text_id: str, text: str, lexicon: Lexicon, width: int, mails: bool, literal: bool, least_fixed: int = 0, among: Windows | None = None) -> DataFrame:
+    """Windows of `width` words, all of them or those whose hash is `among` others: (id, part, pos, template, ...).
+
+    `template` is the hash of the words with placeholders for numbers, units and names. With
+    `literal` follows slot_key, the hash of the words in the placeholders, by the lexicon alone;
+    else `slots`, these words themselves, for placeholders by the lexicon and by context (one
+    window where both agree). Windows of fewer than `least_fixed` words outside placeholders are
+    left out. Null texts have no windows.
     """
-    held = texts.sparkSession.sparkContext.broadcast((lexicon, vocabulary, wanted))
+    held = texts.sparkSession.sparkContext.broadcast((lexicon, among))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, vocab, only = held.value
-        templates = _templates(lex, vocab)
+        lex, only = held.value
+        templates = Templates(lex, not literal)
         for b in batches:
-            ids, parts, poss, hashes, slots = [], [], [], [], []
+            found = []
             for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 for k, shown in enumerate(shown_parts(t) if mails else [t]):
-                    template, slot = templates.of(shown)
-                    at = _closed(template, width)
-                    if not len(at):
-                        continue
-                    h = window_hashes(template, width)[at]
-                    if only is not None:
-                        found = np.searchsorted(only, h)
-                        hit = only[np.minimum(found, len(only) - 1)] == h
-                        at, h = at[hit], h[hit]
-                        if not len(at):
+                    before = None
+                    for template, slot in templates.of(shown):
+                        h = window_hashes(template, width)
+                        if not len(h):
                             continue
-                    ids.append(i)
-                    parts.append(k)
-                    poss.append(at)
-                    hashes.append(h)
-                    slots.append(slot[at[:, None] + np.arange(width)])
-            if ids:
-                yield pa.RecordBatch.from_arrays(_rows(ids, parts, poss, hashes, slots, width), ["id", "part", "pos", "template", "slots"])
+                        key = window_hashes(slot, width) if literal else None
+                        ok = np.ones(len(h), bool) if only is None else only.has(h ^ key if literal else h)
+                        if before is not None:
+                            ok &= h != before
+                        before = h
+                        at = np.flatnonzero(ok)
+                        if least_fixed and len(at):
+                            fixed = np.concatenate([[0], np.cumsum(slot == 0)])
+                            at = at[fixed[at + width] - fixed[at] >= least_fixed]
+                        if len(at):
+                            found.append((i, k, at, h[at], key[at] if literal else slot[at[:, None] + np.arange(width)]))
+            if found:
+                ids, parts, at, h, more = zip(*found, strict=True)
+                n = [len(x) for x in at]
+                last = np.concatenate(more)
+                columns = [np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(parts, np.int32), n), np.concatenate(at).astype(np.int32), np.concatenate(h)]
+                lists = pa.array(last) if literal else pa.ListArray.from_arrays(pa.array(np.arange(len(last) + 1, dtype=np.int32) * width), pa.array(last.ravel()))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["id", "part", "pos", "template", "slot_key" if literal else "slots"])
 
     rows = texts.where(F.col(text).isNotNull() & F.col(text_id).isNotNull()).select(F.col(text_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return (spread(rows) if mails else rows).mapInArrow(run, _WINDOW)
-
+    return (spread(rows) if mails else rows).mapInArrow(run, _LITERAL if literal else _WITH_SLOTS)
 
-def leak_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, mails: bool = True, held_chars: int = 50_000_000, context: bool = False) -> DataFrame:
-    """Windows that documents and items share as templates: (doc_id, part, pos, item_id, item_pos, same, consistent).
 
-    Method: numbers, units and names become typed placeholders; windows of `width` template
-    words are joined by hash; then the slots are checked. `same`: the slots hold the same
-    words, so the passage stands there as it is. `consistent`: each slot word of the item is
-    everywhere replaced by one word and none serves for two, so the passage is the item with
-    other parameters. Mails are taken apart into the parts a reader sees; a window lies in one.
+def _both_sides(docs: DataFrame, items: DataFrame, literal: bool, least_fixed: int, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, mails: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Windows of the documents that some item may have, and those of the items.
 
-    Placeholders come from a lexicon of the items' own units and names, or with `context` from
-    where a word stands in its own text (`context_kinds`), the same rule for documents and items.
-
-    Items of up to `held_chars` characters in all (checked) are known to every task, which then
-    sends only windows that some item has; beyond that size all windows are joined by shuffle.
-    Only the lexicon of units and names is then fitted on a bounded part of the items.
+    The items' windows are written down once; the documents' tasks get a bitmap of them, of at
+    most 32 MB however many items there are, and send only windows that it lets through.
     """
-    usable = items.where(F.col(item_text).isNotNull())
-    total = usable.agg(F.sum(F.length(item_text))).first()[0] or 0
-    small = total <= held_chars
-    texts = [r[0] for r in (usable if small else usable.orderBy(item_id).limit(20_000)).select(item_text).collect()]
-    lexicon = None if context else Lexicon.of(texts)
-    known = wanted = None
-    if small:
-        known = frozenset(w for t in texts for w in words(t))
-        templates = _templates(lexicon, None)
-        parts = [window_hashes(templates.of(t)[0], width) for t in texts]
-        wanted = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
-        if not len(wanted):
-            wanted = np.array([0], np.int64)
-    theirs = template_windows(usable, text_id=item_id, text=item_text, lexicon=lexicon, width=width, mails=False)
-    ours = template_windows(docs, text_id=doc_id, text=text, lexicon=lexicon, width=width, mails=mails, vocabulary=known, wanted=wanted)
-    a = ours.select(F.col("id").alias("doc_id"), "part", "pos", "template", F.col("slots").alias("held"))
-    b = theirs.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "template", F.col("slots").alias("asked"))
-    pairs = F.filter(F.array_distinct(F.arrays_zip("asked", "held")), lambda p: p["asked"] != 0)
-    consistent = (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["asked"])))) & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["held"]))))
-    return a.join(b, "template").select("doc_id", "part", "pos", "item_id", "item_pos", (F.col("asked") == F.col("held")).alias("same"), consistent.alias("consistent"))
+    lexicon = Lexicon.of(items, text=item_text)
+    theirs = settle(template_windows(items, text_id=item_id, text=item_text, lexicon=lexicon, width=width, mails=False, literal=literal, least_fixed=least_fixed), "items")
+    probe = theirs.withColumn("probe", F.col("template").bitwiseXOR(F.col("slot_key")) if literal else F.col("template"))
+    ours = template_windows(docs, text_id=doc_id, text=text, lexicon=lexicon, width=width, mails=mails, literal=literal, among=Windows.of(probe, "probe"))
+    return ours.withColumnRenamed("id", "doc_id"), theirs.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), *theirs.columns[3:])
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
-    """(doc_id, item_id): one part of the document holds a window of the item word for word."""
-    return leak_windows(docs, items, **options).where("same").select("doc_id", "item_id").distinct()
+    """(doc_id, item_id): one part of the document holds a window of the item word for word.
 
+    Method: numbers, units and names become typed placeholders (`Lexicon`, fitted on all items);
+    windows of `width` words are joined by the hashes of template and slots, so the slots hold the
+    same words. Mails are taken apart into the parts a reader sees; a window lies in one. Null and
+    empty texts and texts shorter than a window have none; repeated rows give each pair once.
+    """
+    a, b = _both_sides(docs, items, True, 0, **options)
+    return a.join(b, ["template", "slot_key"]).select("doc_id", "item_id").distinct()
 
-def reparameterised_items(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
+
+def reparameterised_items(docs: DataFrame, items: DataFrame, *, least_fixed: int = 5, **options: object) -> DataFrame:
     """(doc_id, item_id, n_changed, n_same): the item's template stands there with other parameters.
 
-    n_changed counts the windows whose slots hold other words throughout, n_same those that are
-    word for word (0 where nothing of the item is literal). Placeholders are decided both by the
-    items' lexicon, which also knows words out of context (all in small letters, say), and by
-    context, which knows words that no item uses; a window counts once.
+    Windows of documents and items are joined by template, then their slots are checked: each slot
+    word of the item must everywhere be replaced by one word, and none may serve for two.
+    n_changed counts the windows whose slots hold other words, n_same those that are word for word
+    (0 where nothing of the item is literal). Placeholders are decided both by the items' lexicon,
+    which also knows words out of context (all in small letters, say), and by context, which knows
+    words that no item uses; a window counts once. A window says something about an item only if
+    `least_fixed` of its words are no placeholders: a row of numbers has the template of any other.
     """
+    a, b = _both_sides(docs, items, False, least_fixed, **options)
+    pairs = F.filter(F.array_distinct(F.arrays_zip("asked", "held")), lambda p: p["asked"] != 0)
+    consistent = (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["asked"])))) & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["held"]))))
+    both = a.withColumnRenamed("slots", "held").join(b.withColumnRenamed("slots", "asked"), "template")
+    windows = both.select("doc_id", "part", "pos", "item_id", "item_pos", (F.col("asked") == F.col("held")).alias("same"), consistent.alias("consistent")).distinct()
     changed, same = (F.col("consistent") & ~F.col("same")).cast("long"), F.col("same").cast("long")
-    both = leak_windows(docs, items, **options).unionByName(leak_windows(docs, items, context=True, **options)).distinct()
-    found = both.groupBy("doc_id", "item_id").agg(F.sum(changed).alias("n_changed"), F.sum(same).alias("n_same"))
-    return found.where("n_changed > 0")
+    return windows.groupBy("doc_id", "item_id").agg(F.sum(changed).alias("n_changed"), F.sum(same).alias("n_same")).where("n_changed > 0")
