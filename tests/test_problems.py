@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trendloom.operators.buffer_events import canonical_events
 from trendloom.operators.delivery import SeenRanges, deliver_once
 from trendloom.operators.features import dense_blocks, feature_entries, feature_table
-from trendloom.operators.hot_keys import block_of, hot_blocks
+from trendloom.operators.hot_keys import block_number, hot_blocks, with_block_length
 from trendloom.operators.intervals import IntervalMap, periods_and_gaps
 from trendloom.operators.lateness import FingerTree, late_corrections
 from trendloom.operators.sessions import sessionize
@@ -202,14 +202,14 @@ def brute_periods(spans):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("slice_ms", [3, 40, 10**9])
-def test_periods_and_gaps(spark, slice_ms):
+@pytest.mark.parametrize("hot", [{"least_rows": 3, "at_most": 10_000, "least_block_ms": 3}, {"least_rows": 10, "at_most": 10_000, "least_block_ms": 40}, {}])
+def test_periods_and_gaps(spark, hot):
     rng = random.Random(4)
     data = [(k, s, s + rng.choice([0, 1, 3, rng.randint(0, 120)])) for k in "abcde" for s in (rng.randint(-50, 900) for _ in range(rng.randint(1, 45)))]
     data += [("wide", 0, 2**62), ("wide", 5, 6), ("touch", 1, 5), ("touch", 5, 8), ("touch", 9, 9), ("touch", 9, 9)]
     junk = [(None, 1, 2), ("", 1, 2), ("a", None, 2), ("a", 1, None), ("a", 5000, 1)]
     df = spark.createDataFrame(data + junk, "partition_key string, window_start_ms bigint, window_end_ms bigint").withColumn("slice", F.lit("x")).withColumn("s", F.lit(0))
-    assert rows(periods_and_gaps(df, slice_ms=slice_ms)) == brute_periods(data)
+    assert rows(periods_and_gaps(df, **hot)) == brute_periods(data)
     assert periods_and_gaps(df.limit(0)).count() == 0
 
 
@@ -217,5 +217,17 @@ def test_hot_blocks(spark):
     df = spark.range(10_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.col("id").alias("t"))
     blocks = hot_blocks(df, key="k", time_ms="t", least_rows=1000, at_most=20, least_block_ms=1)
     assert blocks == {"hot": 9999 * 1000 // 10_000}
-    assert df.select(block_of(blocks, F.col("k"), F.col("t")).alias("b")).distinct().count() == 12
-    assert df.select(block_of({}, F.col("k"), F.col("t")).alias("b")).where("b IS NOT NULL").count() == 0
+    number = block_number(F.col("t"), F.col("block_ms")).alias("b")
+    assert with_block_length(df, blocks).select(number).distinct().count() == 12
+    assert with_block_length(df, {}).select(number).where("b IS NOT NULL").count() == 0
+
+
+def test_settled_tables_are_released(spark):
+    import os
+
+    from trendloom.session import release, settle
+
+    df = settle(spark.range(3).toDF("x"), "test")
+    path = df.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert df.count() == 3 and os.path.exists(path)
+    assert release(spark) >= 1 and not os.path.exists(path) and release(spark) == 0

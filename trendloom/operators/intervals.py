@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.operators.hot_keys import block_number, hot_blocks, with_block_length
 from trendloom.session import settle
 
-_PIECES = "k string, slice bigint, s bigint, e bigint"
+_FOUND = "k string, kind string, slice bigint, s bigint, e bigint, next_s bigint"
 
 
 class IntervalMap:
@@ -38,28 +39,41 @@ class IntervalMap:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals sorted by (key, slice) through one map for each; what is merged leaves when its slice ends."""
+    """Intervals sorted by key, slice and start through one map for each; what is merged leaves when its slice ends."""
     group, held = None, IntervalMap()
     out: list[tuple] = []
+
+    def close() -> None:
+        k, piece = group
+        followers = [*held.starts[1:], None]
+        if piece is None:
+            out.extend((k, "period", None, a, b, None) for a, b in zip(held.starts, held.ends, strict=True))
+            out.extend((k, "gap", None, a, b, None) for a, b in held.gaps())
+        else:
+            out.extend((k, "piece", piece, a, b, n) for a, b, n in zip(held.starts, held.ends, followers, strict=True))
+
     for b in batches:
         for k, piece, s, e in zip(*(b[c].to_pylist() for c in ("k", "slice", "s", "e")), strict=True):
             if (k, piece) != group:
-                out += [(*group, x, y) for x, y in zip(held.starts, held.ends, strict=True)] if group else []
+                if group:
+                    close()
                 group, held = (k, piece), IntervalMap()
             held.add(s, e)
         if len(out) >= 10_000:
-            yield _pieces(out)
+            yield _rows(out)
             out = []
     if group:
-        yield _pieces([*out, *((*group, x, y) for x, y in zip(held.starts, held.ends, strict=True))])
+        close()
+        yield _rows(out)
 
 
-def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    k, piece, s, e = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(piece, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["k", "slice", "s", "e"])
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    types = (pa.string(), pa.string(), *[pa.int64()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k", "kind", "slice", "s", "e", "next_s"])
 
 
-def periods_and_gaps(df: DataFrame, *, key: str = "partition_key", start: str = "window_start_ms", end: str = "window_end_ms", slice_ms: int = 7 * 86_400_000) -> DataFrame:
+def periods_and_gaps(df: DataFrame, *, key: str = "partition_key", start: str = "window_start_ms", end: str = "window_end_ms", **hot: int) -> DataFrame:
     """Rows (k, kind, start_ms, end_ms): kind `period` for every continuous period of a key,
     `gap` for every hole between two consecutive periods, from the end of one to the next start.
 
@@ -68,26 +82,34 @@ def periods_and_gaps(df: DataFrame, *, key: str = "partition_key", start: str =
     end do not count; repeated rows count once; an interval of no length is a period. An empty
     table gives no rows; extra columns are not read.
 
-    Method: an ordered map of disjoint intervals per (key, slice of start times), where each
-    insertion finds overlaps by binary search and merges them. The slices of a key are then
-    joined by running maxima over one row per slice: the end reached before each slice, and
-    how far later slices carry on the last period of an earlier one. So a key with a third of
-    all rows is spread over its slices, and no task holds more of a key than a slice and one
-    row for each slice.
+    Method: an ordered map of disjoint intervals per entity, where each insertion finds overlaps
+    by binary search, merges them and thereby changes the gaps. Rows reach a map in order of start,
+    so most are added at its end. Only keys with many rows (`hot_blocks`, whose limits are the
+    further options) are split, into slices of start time sized by the key's count, with a map for
+    each; slices are then stitched: the end reached before each (a running maximum over one row a
+    slice, of which there are a few thousand at most) tells which of its first pieces an earlier
+    period already holds. So a key with a third of all rows is spread over many tasks. A slice has
+    a length of an hour at least, and so no more than 3.6 million different starts.
     """
-    rows = (
-        df.where((F.col(key) != "") & (F.col(start) <= F.col(end)))
-        .select(F.col(key).alias("k"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
-        .distinct()
-        .select("k", (F.col("s") - F.pmod(F.col("s"), F.lit(slice_ms))).alias("slice"), "s", "e")
-    )
-    pieces = settle(rows.repartition("k", "slice").sortWithinPartitions("k", "slice").mapInArrow(_merge, _PIECES), "intervals")
-
+    rows = df.where((F.col(key) != "") & (F.col(start) <= F.col(end))).select(F.col(key).alias("k"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
+    blocks = hot_blocks(rows, key="k", time_ms="s", **hot)
+    sliced = with_block_length(rows, blocks).select("k", block_number(F.col("s"), F.col("block_ms")).alias("slice"), "s", "e")
+    # of windows with one start only the longest matters: copies go before any of a key's rows come together
+    longest = sliced.groupBy("k", "slice", "s").agg(F.max("e").alias("e"))
+    found = longest.repartition("k", "slice").sortWithinPartitions("k", "slice", "s").mapInArrow(_merge, _FOUND)
+    shown = ("k", "kind", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
+    if not blocks:
+        return found.select(*shown)
+    found = settle(found, "intervals")
+    return found.where("kind <> 'piece'").select(*shown).unionByName(_stitched(found.where("kind = 'piece'")))
+
+
+def _stitched(pieces: DataFrame) -> DataFrame:
+    """Periods and gaps of the slices' pieces (k, slice, s, e, next_s): disjoint and in order within a slice."""
     earlier = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     reached = pieces.groupBy("k", "slice").agg(F.max("e").alias("top")).select("k", "slice", F.max("top").over(earlier).alias("reached"))
     opens = F.coalesce(F.col("s") > F.col("reached"), F.lit(True))
-    inside = Window.partitionBy("k", "slice").orderBy("s")
-    marked = pieces.join(reached, ["k", "slice"]).select("k", "slice", "s", "e", opens.alias("opens"), F.lead("s").over(inside).alias("next_s"))
+    marked = pieces.join(F.broadcast(reached), ["k", "slice"]).select("k", "slice", "s", "e", opens.alias("opens"), "next_s")
 
     # all but a slice's last period are whole: the piece that follows begins after them
     whole = marked.where(F.col("opens") & F.col("next_s").isNotNull()).select("k", "s", "e", F.col("next_s").alias("next"))
@@ -98,11 +120,11 @@ def periods_and_gaps(df: DataFrame, *, key: str = "partition_key", start: str =
         F.max(F.when(F.col("opens"), F.col("s"))).alias("last_s"),
         F.max(F.when(F.col("opens"), F.col("e"))).alias("last_e"),
     )
-    starts = F.count("last_s").over(earlier)
-    edges = edges.withColumn("carries", starts)  # the number of the period that reaches this slice
-    onward = edges.groupBy("k", F.col("carries").alias("nth")).agg(F.max("head_end").alias("head_end"), F.min("first_s").alias("next"))
+    # the number of the period that reaches each slice; a slice's own last one has the next number
+    numbered = edges.withColumn("carries", F.count("last_s").over(earlier))
+    onward = numbered.groupBy("k", F.col("carries").alias("nth")).agg(F.max("head_end").alias("head_end"), F.min("first_s").alias("next"))
     last = (
-        edges.where(F.col("last_s").isNotNull())
+        numbered.where(F.col("last_s").isNotNull())
         .select("k", (F.col("carries") + 1).alias("nth"), "last_s", "last_e")
         .join(onward, ["k", "nth"], "left")
         .select("k", F.col("last_s").alias("s"), F.greatest("last_e", "head_end").alias("e"), "next")

@@ -26,8 +26,9 @@ class FingerTree:
 
     A leaf holds sorted keys and their counts; an inner node holds children and the lowest
     key of each; every node holds the sum below it. An insertion climbs from the finger
-    only as far as its key's subtree and then goes down, so records in order cost O(1) and
-    a record that is d keys late O(log d); the sums of the ancestors change on the way.
+    only as far as its key's subtree and then goes down, so a record in order is placed at
+    once and one that is d keys late after O(log d) steps; then the sums of its ancestors
+    change, as many as the tree is high.
     """
 
     WIDTH = 16
@@ -176,13 +177,13 @@ def late_corrections(
     on_time_ms: int = 30 * MINUTE_MS,
     cutoff_ms: int = DAY_MS,
     pane_ms: int = MINUTE_MS,
-    shard_ms: int = DAY_MS,
+    shard_ms: int = HOUR_MS,
 ) -> DataFrame:
     """What each batch adds to each period of event time, of one row per event.
 
     Columns: period_start_ms, batch_id, n_added (events counted), n_before and n_after
     (the period's count before the batch's first and after its last record), n_window (events
-    held in the shard after it), corrects (the batch adds an event that arrived more than
+    held in the shard after it, by default the period's own), corrects (the batch adds an event that arrived more than
     `on_time_ms` after it happened). An event that arrives more than `cutoff_ms` after it
     happened is not counted; exactly `cutoff_ms` is. Both are compared in microseconds.
 
@@ -190,7 +191,8 @@ def late_corrections(
     order of arrival. Records near the latest time enter at the finger; late ones update
     the partials of their ancestors; the cut-off of each arrival evicts older subtrees in
     bulk and turns away what would fall into them. Time is split into shards of `shard_ms`,
-    each with its own tree: a period lies in one shard. Before the shuffle, events of one
+    each with its own tree: a period lies in one shard, and there are as many tasks' worth of
+    trees as periods. Before the shuffle, events of one
     batch, pane of event time and pane of arrival that lie on the same side of both limits
     become one partial, so a tree takes as many as there are panes and batches, however many
     events there are. A partial stands for its events exactly: within the cut-off it arrives
@@ -217,8 +219,11 @@ def late_corrections(
         .agg(F.min("t").alias("low"), F.max("t").alias("high"), F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
         .select("pane", "batch", F.expr("if(side = 2, last, first)").alias("at"), F.expr("if(side = 2, high, low)").alias("key"), F.expr("side = 1").alias("late"), "n")
     )
+    # a fixed number of partitions: partials are few bytes but much work, so they must not be put together by size
+    tasks = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = (
         partial.withColumn("shard", F.floor(F.col("pane") / shard_ms))
+        .repartition(tasks, "shard")
         .groupBy("shard")
         .applyInPandas(_replay(period_ms, cutoff_ms * 1000), _CORRECTIONS)
     )

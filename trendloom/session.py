@@ -29,14 +29,16 @@ def local_session(app: str = "trendloom", cores: str = "*", shuffle_partitions:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` as the cluster names it.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made and removed
-    at exit.
+    Only in local mode (tests, a laptop), and where that is unset, a temporary folder is made and
+    removed at exit. On a cluster such a folder would be another one on each machine: an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="trendloom-")
         atexit.register(shutil.rmtree, named, True)
         named = "file://" + os.path.abspath(named)
@@ -44,18 +46,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_SETTLED: list[str] = []
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Cuts lineage and lets several plans read one result; the table survives the loss
-    of any executor, and parquet keeps it small and lets later scans prune columns.
+    of any executor, and parquet keeps it small and lets later scans prune columns. It is
+    written at once, while the plan that reads it is made, and is deleted by `release`, or at
+    the end of the application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled/{label}-{uuid.uuid4().hex}"
+    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    _SETTLED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that `settle` has written so far, once no plan needs them any more; how many there were."""
+    n = len(_SETTLED)
+    while _SETTLED:
+        fs, at = _file_system(spark, _SETTLED.pop())
+        fs.delete(at, True)
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many partitions as there are cores.
 
