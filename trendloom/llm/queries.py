@@ -17,10 +17,9 @@ from trendloom.tables import table
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    buffer = table(spark, d, "cet_event_buffer_v5")
-    # copies of an event share key and type, so these need no look at the identifiers
-    counted = buffer.where(is_event() & F.col("event_id").isNotNull()).select(F.col("partition_key").alias("k"), type_key(F.col("event_type")).alias("type_key")).distinct()
-    return frequent_triples(canonical_events(buffer), blocks=buffer_blocks(buffer), counted=counted)
+    # copies of an event share key, time and type, so they need not be taken out
+    buffer = table(spark, d, "cet_event_buffer_v5").where(is_event() & F.col("event_id").isNotNull())
+    return frequent_triples(buffer.select(F.col("partition_key").alias("k"), F.col("event_time_ms").alias("t"), type_key(F.col("event_type")).alias("type_key")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

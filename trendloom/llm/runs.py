@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.operators.hot_keys import block_of, hot_blocks
+from trendloom.operators.hot_keys import block_number, hot_blocks, with_block_length
 
 _RUN = "k string, type_key string, start_ms bigint, end_ms bigint, n bigint, block bigint, head boolean, tail boolean"
 _APART = "\x01"
@@ -112,7 +112,7 @@ def collapse_runs(events: DataFrame, *, blocks: dict[str, int] | None = None, mo
     rows a block, are then joined across blocks.
     """
     e = events.where("k IS NOT NULL AND t IS NOT NULL AND type_key IS NOT NULL")
-    e = e.select("k", block_of(blocks or {}, F.col("k"), F.col("t")).alias("block"), "t", "event_id", "type_key")
+    e = with_block_length(e, blocks).select("k", block_number(F.col("t"), F.col("block_ms")).alias("block"), "t", "event_id", "type_key")
     sorted_ = e.repartition("k", "block").sortWithinPartitions("k", "block", "t", "event_id")
     found = sorted_.select("k", "block", "type_key", F.col("t").alias("s"), "t", F.lit(1).cast("long").alias("n")).mapInArrow(_runs(most_apart_ms, task_rows), _RUN)
     columns = ["k", "type_key", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), F.col("n").alias("n_events")]

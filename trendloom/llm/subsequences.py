@@ -11,10 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.operators.hot_keys import block_of
+from trendloom.operators.hot_keys import block_number, blocks_of_sizes, with_block_length
 from trendloom.session import settle
 
 _CHUNK = "split array<string>, sizes binary, times binary, kinds binary, own binary"
+_WHOLE = -(2**62)  # in place of the block of a group that isn't split
 _COUNTS = "code bigint, k string, n bigint"
 
 
@@ -147,22 +148,30 @@ def _bytes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def _encode(rows: int):
-    """Sorted events to chunks of whole groups."""
+def _encode(rows: int, within_ms: int):
+    """Sorted events to chunks of whole groups; a group of more than `rows` events that goes on is cut by time.
 
-    def chunk(t: pa.Table) -> pa.RecordBatch:
+    Each part of a cut group is followed by a margin: the events at most `within_ms` after its last
+    own one, at which no pattern may begin. A part ends where all of them are known. So a task holds
+    no more of an entity than `rows` events and those of one window.
+    """
+
+    def chunk(t: pa.Table, named: bool) -> pa.RecordBatch:
+        """One record of whole groups; `named`: the first is a part of a cut group."""
         key = pa.concat_arrays(t["k"].chunks)
         code = key.dictionary_encode().indices.to_numpy()
-        block = t["block"].fill_null(-(2**62)).to_numpy()
+        block = t["block"].fill_null(_WHOLE).to_numpy()
         first = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]) | (block[1:] != block[:-1])) + 1])
-        names = pc.if_else(pa.array(block[first] == -(2**62)), pa.scalar(None, pa.string()), key.take(pa.array(first)))
+        whole = block[first] == _WHOLE
+        whole[0] &= not named
+        names = pc.if_else(pa.array(whole), pa.scalar(None, pa.string()), key.take(pa.array(first)))
         sizes = np.diff(np.concatenate([first, [len(t)]]))
         fields = [_bytes(x) for x in (sizes.astype(np.int64), t["t"].to_numpy(), t["kind"].to_numpy().astype(np.int32), t["own"].to_numpy(zero_copy_only=False))]
         return pa.RecordBatch.from_arrays([pa.array([names.to_pylist()], pa.list_(pa.string())), *(pa.array([f], pa.binary()) for f in fields)], ["split", "sizes", "times", "kinds", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, enough = 0, rows
+        size, enough, named = 0, rows, False
         for b in batches:
             if not len(b):
                 continue
@@ -171,16 +180,24 @@ def _encode(rows: int):
             if size < enough:
                 continue
             t = pa.Table.from_batches(held)
-            key, block = t["k"], t["block"].fill_null(-(2**62))
-            same = pc.and_(pc.equal(key, key[-1]), pc.equal(block, block[-1])).to_numpy()
-            cut = int(np.argmax(same))
+            key, block = t["k"], t["block"].fill_null(_WHOLE)
+            cut = int(np.argmax(pc.and_(pc.equal(key, key[-1]), pc.equal(block, block[-1])).to_numpy()))
             if cut:
-                yield chunk(t.slice(0, cut))
+                yield chunk(t.slice(0, cut), named)
+                named = False
+            else:
+                # one group: its events whose window has passed may begin patterns, the others follow
+                own = t["t"].to_numpy() + within_ms < t["t"][-1].as_py()
+                cut = int(own.sum())
+                if cut:
+                    mine = pc.and_(t["own"], pa.array(own))
+                    yield chunk(t.set_column(t.schema.get_field_index("own"), "own", mine), True)
+                    named = True
             held = t.slice(cut).to_batches()
             size = len(t) - cut
             enough = max(rows, 2 * size)
         if held:
-            yield chunk(pa.Table.from_batches(held))
+            yield chunk(pa.Table.from_batches(held), named)
 
     return run
 
@@ -224,23 +241,28 @@ def _support(counts: DataFrame, need: int) -> DataFrame:
     return each.groupBy("code").agg(F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(1)).alias("support")).where(F.col("support") >= need)
 
 
+def type_sizes(events: DataFrame) -> DataFrame:
+    """(k, type_key, n, low, high): rows, first and last time of each type of an entity; rows lacking any of these count nowhere."""
+    rows = events.where("k IS NOT NULL AND t IS NOT NULL AND type_key IS NOT NULL")
+    return rows.groupBy("k", "type_key").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("low"), F.max("t").alias("high"))
+
+
 def frequent_triples(
     events: DataFrame,
     *,
-    blocks: dict[str, int] | None = None,
     within_ms: int = 600_000,
     one_in: int = 50,
     least: int = 3,
     chunk_rows: int = 150_000,
-    counted: DataFrame | None = None,
+    **hot: int,
 ) -> DataFrame:
     """(step1, step2, step3, support): triples of three different types that at least one entity
     in `one_in`, and at least `least`, has in strictly rising order of time within `within_ms`.
 
     Other events may lie between; events of equal time are in no order. support is the number
-    of entities. `events` are canonical events (event_id, k, t, type_key); rows without key,
-    type or time are left out; no events give no rows. `counted` may give the distinct
-    (k, type_key) of the same events where they are cheaper to have.
+    of entities. `events` are (k, t, type_key), in any order and however often each was delivered
+    (copies share all three, and so their bit); rows without key, type or time are left out; no
+    events give no rows.
 
     Method: bitmap sequence mining. Positions of events become bit vectors by type; a pattern
     is extended by shifting its positions to the bits that follow them within the window and
@@ -250,28 +272,35 @@ def frequent_triples(
     pair takes one entity in `one_in`, so there are at most `one_in` times as many as an
     average entity has.
 
-    Whole entities are counted within tasks, so one row per pattern and task is shuffled. Keys
-    in `blocks` (see `hot_blocks`) are split by time, each block with a right margin of
-    `within_ms`, and count once for all their blocks.
+    Events are read twice: for sizes by entity and type (written down), and for the chunks of bit
+    vectors (written down), with one shuffle each. Whole entities are counted within tasks, so one
+    row per pattern and task is shuffled. Hot entities (`blocks_of_sizes`, whose limits are the
+    further options) are split into blocks of time over several tasks, and any entity of more than
+    `chunk_rows` events within its task, each part with a right margin of `within_ms`; such an
+    entity counts once for all its parts.
     """
     spark = events.sparkSession
     events = events.select("k", "t", "type_key")
-    pairs = counted if counted is not None else events.where("k IS NOT NULL AND t IS NOT NULL AND type_key IS NOT NULL").select("k", "type_key").distinct()
+    pairs = settle(type_sizes(events), "types")
     n_keys = pairs.select("k").distinct().count()
     need = max(least, -(-n_keys // one_in))
-    kinds = sorted(r["type_key"] for r in pairs.groupBy("type_key").agg(F.count_distinct("k").alias("n")).where(F.col("n") >= need).select("type_key").collect())
+    kinds = sorted(r["type_key"] for r in pairs.groupBy("type_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need).select("type_key").collect())
     schema = "step1 string, step2 string, step3 string, support bigint"
     if len(kinds) < 3:
         return spark.createDataFrame([], schema)
+    blocks = blocks_of_sizes(pairs.groupBy("k").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), **hot)
 
     names = spark.createDataFrame(list(enumerate(kinds)), "kind int, type_key string")
-    e = events.where("k IS NOT NULL AND t IS NOT NULL").join(F.broadcast(names), "type_key").select("k", "t", "kind", block_of(blocks or {}, F.col("k"), F.col("t")).alias("block"))
-    e = e.withColumn("own", F.lit(True))
+    e = events.where("k IS NOT NULL AND t IS NOT NULL").join(F.broadcast(names), "type_key").select("k", "t", "kind")
     if blocks:
-        before = block_of(blocks, F.col("k"), F.col("t") - within_ms)
-        margin = e.where(before < F.col("block")).withColumn("block", F.explode(F.sequence(before, F.col("block") - 1))).withColumn("own", F.lit(False))
-        e = e.unionByName(margin.select(*e.columns))
-    chunks = settle(e.repartition("k", "block").sortWithinPartitions("k", "block", "t").mapInArrow(_encode(chunk_rows), _CHUNK), "chunks")
+        e = with_block_length(e, blocks)
+        block, before = block_number(F.col("t"), F.col("block_ms")), block_number(F.col("t") - within_ms, F.col("block_ms"))
+        own = F.array(F.struct(block.alias("block"), F.lit(True).alias("own")))
+        margin = F.when(before < block, F.transform(F.sequence(before, block - 1), lambda x: F.struct(x.alias("block"), F.lit(False).alias("own"))))
+        e = e.select("k", "t", "kind", F.explode(F.when(margin.isNull(), own).otherwise(F.concat(own, margin))).alias("x")).select("k", "t", "kind", "x.block", "x.own")
+    else:
+        e = e.select("k", "t", "kind", F.lit(None).cast("long").alias("block"), F.lit(True).alias("own"))
+    chunks = settle(e.repartition("k", "block").sortWithinPartitions("k", "block", "t").mapInArrow(_encode(chunk_rows, within_ms), _CHUNK), "chunks")
 
     n = len(kinds)
     everything = np.arange(n)
