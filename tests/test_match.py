@@ -5,9 +5,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trendloom.engine import Options, find, run
+from trendloom.engine import Options, find, run, statistics
 from trendloom.functions.predicates import Predicate
-from trendloom.plans.local import local_absent, local_holds, local_paths, local_walks
+from trendloom.plans.local import local_absent, local_holds, local_paths, local_walk_ways, local_walks
+from trendloom.plans.graph_match import graph_statistics
 from trendloom.plans.match import match, match_paths
 from trendloom.plans.pattern import parse_pattern
 from trendloom.plans.spec import Absence, QuerySpec, Registry, Relation
@@ -174,3 +175,45 @@ def test_graph_walks_of_any_length(spark, chain):
     q = QuerySpec.of({"id": "q", "pattern": "A,B", "within_ms": 1000})
     got = {len(r["path"]) for r in find(events, q, Options(mode="graph")).collect()}
     assert got == set(range(2, 21))
+
+
+def attributed(spark, rows):
+    return spark.createDataFrame(rows, "event_id bigint, partition_key string, event_type string, event_time_ms bigint, user_id string")
+
+
+def test_every_way_of_matching_counts(spark):
+    e = attributed(spark, [(1, "p", "A", 1, "u"), (2, "p", "B", 2, "u"), (3, "p", "B", 3, "x"), (4, "p", "C", 4, "u")])
+    same = {"relations": [{"field": "user_id", "op": "same"}]}
+    for mode in ("walk", "graph"):
+        o = Options(mode=mode, entity_keys=())
+        for pattern in ("A,B+,C", "A,B,C"):
+            assert ids(find(e, q(pattern, **same), o)) == [(1, 2, 3, 4)], (mode, pattern)
+        # events of an absent type that take a step are not absent
+        assert ids(find(e, q("A,B+,C", absence=[{"event_type": "B"}]), o)) == [(1, 2, 3, 4)]
+        assert ids(find(e, q("A,B,C", absence=[{"event_type": "B"}]), o)) == []
+
+
+def test_ways_against_brute_force(spark):
+    rng = random.Random(3)
+    for pattern in ("A,B+,C", "A,B,C", "A+,B"):
+        data = [(i, rng.choice("pq"), rng.choice("ABCX"), rng.randint(1, 40), rng.choice("uvw")) for i in range(60)]
+        e = attributed(spark, data)
+        users = {r[0]: r[4] for r in data}
+        expected = set()
+        for k in "pq":
+            line = [{"event_id": r[0], "event_type": r[2], "event_time_ms": r[3]} for r in data if r[1] == k]
+            expected |= {path for path, took in local_walk_ways(walk_steps(q(pattern, 12)), line, 12) if len({users[i] for i in took}) == 1}
+        found = ids(find(e, q(pattern, 12, relations=[{"field": "user_id", "op": "same"}]), Options(mode="walk")))
+        assert found == sorted(expected), pattern
+
+
+def test_graph_statistics(spark):
+    e = attributed(spark, [(i, "p", "A" if i < 6 else "C", i, "u") for i in range(1, 7)])
+    edges = spark.createDataFrame([*((i, i + 1, 0, 0) for i in range(1, 6)), (2, 1, 0, 0), (3, 99, 0, 0), (3, 5, 50, 60), (4, 6, 0, 100)], "src bigint, dst bigint, window_start_ms bigint, window_end_ms bigint")
+    s = graph_statistics(e, edges, q("A,C", 10)).first().asDict()
+    assert (s["seed_paths"], s["paths_found"], s["max_depth"], s["paths_truncated"], s["temporal_rejects"], s["edge_window_rejects"], s["overflow"]) == (5, 9, 6, 0, 4, 3, 0)
+    assert graph_statistics(e, edges, q("A,C", 3)).first()["temporal_rejects"] == 9
+    cut = graph_statistics(e, edges, q("A,C", 10), max_length=3).first()
+    assert (cut["paths_found"], cut["paths_truncated"], cut["overflow"]) == (4, 3, 1)
+    bad = statistics(e, Registry.of([{"id": "ok", "pattern": "A,C", "within_ms": 10, "where": [{"field": "user_id", "op": "eq", "value": "u", "event_type": "C"}]}, {"id": "bad", "pattern": "(A|B),C", "within_ms": 1}]), edges=edges)
+    assert {r["query_id"]: (r["status"], r["paths_found"], r["predicate_rejects"]) for r in bad.collect()} == {"ok": ("ok", 9, 0), "bad": ("err", None, None)}

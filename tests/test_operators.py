@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.functions.canonical import checked, from_ecs, from_ocsf, rejects, sound
-from trendloom.operators import graph, knowledge, replay, windows
+from trendloom.operators import graph, knowledge, metrics, replay, windows
 from trendloom.sources.readers import SourceConfig, batches, http_poll, in_memory, json_lines
 from trendloom.sources.writers import to_http, to_json_lines
 from trendloom.store import Snapshots
@@ -41,9 +41,11 @@ def test_knowledge_graph(spark):
     assert rows(knowledge.kg_relations(e), "relation_type", "event_id") == [("co_observed:user:host", 1), ("co_observed:user:host", 2)]
     t = spark.createDataFrame([("t", "q", [1, 2, 99], "high", 80.0)], "trend_id string, query_id string, path array<bigint>, severity string, risk_score double")
     assert knowledge.trend_evidence(t).count() == 3
-    (x,) = knowledge.investigations(t, e, {"q": ["T1078"]}).collect()
-    assert [s["event_id"] for s in x["timeline"]] == [99, 1, 2] and x["techniques"] == ["T1078"] and len(x["checks"]) == 5
-    assert knowledge.investigations(t, e).first()["techniques"] == []
+    (x,) = knowledge.investigations(t, e, {"q": ["T1078"]}, {"checks": ("a",), "serious_checks": ("b",), "questions": ("c",)}).collect()
+    assert [s["event_id"] for s in x["timeline"]] == [99, 1, 2] and x["techniques"] == ["T1078"] and x["checks"] == ["a", "b"] and x["actions"] == []
+    assert x["questions"] == ["What else did user_id u1 do around this time?", "What else did host_id h1 do around this time?", "c"]
+    (y,) = knowledge.investigations(t.withColumn("severity", F.lit("low")), e.withColumn("host_id", F.col("event_type")), texts={"checks": ("a",), "serious_checks": ("b",)}).collect()
+    assert y["techniques"] == [] and y["checks"] == ["a"] and y["questions"][1] == "Why does host_id change along the path?"
 
 
 def test_states(spark):
@@ -147,14 +149,20 @@ def test_checked(spark):
     assert sound(e).count() == 1 and rejects(e).count() == 6
 
 
-def test_metric_buffer(spark):
-    from trendloom.operators.metrics import MetricBuffer
+def test_measured_and_required_metrics(spark):
+    df, seen = metrics.observed(spark.range(5), rows=F.count(F.lit(1)), highest=F.max("id"))
+    assert df.where("id > 2").count() == 2 and seen.get == {"rows": 5, "highest": 4}
+    got = {r["metric_name"]: r for r in metrics.required_metrics(spark.createDataFrame([("events_in", 2.0), ("events_in", 3.0), ("other", 1.0)], "metric_name string, metric_value double")).collect()}
+    assert len(got) == 15 and got["events_in"]["metric_value"] == 5.0 and not got["dlq_ratio"]["measured"]
 
-    m = MetricBuffer("s", 3)
-    m.add("paths_found", 2, "q", "v1", "k")
-    with pytest.raises(KeyError), m.timer("took_ms"):
-        raise KeyError("x")
-    assert [(r["query_id"], r["metric_name"]) for r in m.table(spark).collect()] == [("q", "paths_found"), ("_all", "took_ms")]
+
+def test_alerts_that_last(spark, tmp_path):
+    (tmp_path / "r.yaml").write_text("alerts:\n- {name: slow, expr: ms > 10, for: 1m, severity: page}\n- {name: any, expr: ms > 10}\n")
+    rules = metrics.load_rules(tmp_path / "r.yaml")
+    assert rules == [("slow", "ms", 10.0, "page", 60), ("any", "ms", 10.0, "page", 0)]
+    samples = [("ms", t * 1000, v) for t, v in [(0, 11.0), (30, 12.0), (59, 11.0), (70, 1.0), (80, 20.0), (140, 20.0), (150, None), (160, 11.0)]] + [("other", 0, 99.0)]
+    got = rows(metrics.sustained_alerts(spark.createDataFrame(samples, "metric_name string, at_ms bigint, metric_value double"), rules), "alert", "since_ms", "until_ms")
+    assert got == [("any", 0, 59_000), ("any", 80_000, 140_000), ("any", 160_000, 160_000), ("slow", 80_000, 140_000)]
 
 
 def test_mutations(spark):

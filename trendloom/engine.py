@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.operators.enrich import trends
 from trendloom.operators.graph import RELATIONS, event_graph
-from trendloom.plans.graph_match import match_graph
-from trendloom.plans.match import holds, match, without_absent
+from trendloom.plans.graph_match import graph_statistics, match_graph
+from trendloom.plans.match import holds, match, path_text, without_absent
 from trendloom.plans.spec import QuerySpec, Registry
 from trendloom.plans.walk import match_walks
 
@@ -37,16 +38,26 @@ def find(events: DataFrame, spec: QuerySpec, options: Options | None = None) ->
     wanted = tuple(dict.fromkeys([*o.fields, *(r.field for r in spec.relations)]))
     if o.mode == "standing":
         return match(events, spec, wanted, o.plan)
+    # relations and absence look at the events that took a step, in every way of matching a walk: what lies
+    # on a walk without taking a step must not hide an absent event, nor need it meet a relation
+    ways = bool(spec.relations or spec.absence)
     if o.mode == "walk":
-        found = match_walks(events, spec, wanted)
+        found = match_walks(events, spec, wanted, ways=ways)
     elif o.mode == "graph":
-        found = match_graph(events, event_graph(events.where(F.col("event_type").isin(spec.types())), o.entity_keys, o.max_gap_ms), spec, wanted, o.max_length)
+        found = match_graph(events, graph_of(events, spec, o), spec, wanted, o.max_length, ways)
     else:
         raise ValueError(f"unknown mode {o.mode!r}; one of {MODES}")
-    # what lies on a walk without taking a step must not hide an absent event
+    if not ways:
+        return found
     for r in spec.relations:
         found = found.where(holds(r, F.col("matched")))
-    return without_absent(found, events, spec, "matched").drop("matched")
+    held = without_absent(found, events, spec, "matched").withColumn("ids", path_text(F.col("path")))
+    return held.dropDuplicates(["partition_key", "ids"]).drop("ids", "matched")
+
+
+def graph_of(events: DataFrame, spec: QuerySpec, options: Options) -> DataFrame:
+    """The edges that a query's walks may take: between events of the types that it names."""
+    return event_graph(events.where(F.col("event_type").isin(spec.types())), options.entity_keys, options.max_gap_ms)
 
 
 def run(events: DataFrame, registry: Registry, options: Options | None = None) -> DataFrame:
@@ -67,8 +78,30 @@ def compare(events: DataFrame, base: Registry, candidate: Registry, options: Opt
     return diff_trends(run(events, base, options), run(events, candidate, options))
 
 
-def stats(found: DataFrame, most_length: int = 64) -> DataFrame:
-    """Per query: paths, the longest, and how many a length limit would cut (none are)."""
-    return found.groupBy("query_id", "query_version").agg(
-        F.count(F.lit(1)).alias("paths_found"), F.max("event_count").alias("max_depth"), F.sum((F.col("event_count") > most_length).cast("long")).alias("overflow")
-    )
+def stats(found: DataFrame) -> DataFrame:
+    """Per query: paths, and the longest."""
+    return found.groupBy("query_id", "query_version").agg(F.count(F.lit(1)).alias("paths_found"), F.max("event_count").alias("max_depth"))
+
+
+def statistics(events: DataFrame, registry: Registry, options: Options | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """What graph runs of all enabled queries did: (query_id, query_version, partition_key, ...) of `graph_statistics`, and
+    predicate_rejects, the events of a key that a query's types take but its conditions turn away.
+
+    `edges` are taken instead of the events' own graph where they are given. A query that fails
+    to be planned has one row of its own with its error, and the others go on.
+    """
+    o = options or Options(mode="graph")
+    parts, failed = [], []
+    for q in registry.enabled():
+        try:
+            s = graph_statistics(events, graph_of(events, q, o) if edges is None else edges, q, o.max_length)
+            named = events.where(F.col("event_type").isin(q.types()) & F.col("partition_key").isNotNull())
+            kept = reduce(lambda a, b: a & b, (p.column(events) for p in q.where), F.lit(True))
+            turned = named.groupBy("partition_key").agg(F.count_if(~F.coalesce(kept, F.lit(False))).alias("predicate_rejects"))
+            s = s.join(turned, "partition_key", "left").withColumn("predicate_rejects", F.coalesce("predicate_rejects", F.lit(0)))
+            parts.append(s.select(F.lit(q.query_id).alias("query_id"), F.lit(q.version).alias("query_version"), *s.columns, F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")))
+        except (ValueError, AnalysisException) as e:
+            failed.append((q.query_id, q.version, "err", str(e)))
+    if failed:
+        parts.append(events.sparkSession.createDataFrame(failed, "query_id string, query_version string, status string, error string"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -102,7 +102,8 @@ def all_pair_edges(events: DataFrame, key: str, max_gap_ms: int) -> DataFrame:
 
 def event_graph(events: DataFrame, keys: tuple[str, ...] = tuple(RELATIONS), max_gap_ms: int | None = None) -> DataFrame:
     """Temporal, entity and parent edges together."""
-    return reduce(DataFrame.unionByName, [temporal_edges(events, max_gap_ms), entity_edges(events, keys, max_gap_ms), parent_edges(events, max_gap_ms)])
+    parts = [temporal_edges(events, max_gap_ms), parent_edges(events, max_gap_ms)]
+    return reduce(DataFrame.unionByName, [*parts, entity_edges(events, keys, max_gap_ms)] if keys else parts)
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:

@@ -42,11 +42,3 @@ def with_block_length(df: DataFrame, blocks: dict[str, int] | None, key: str = "
 def block_number(time_ms: Column, length: Column) -> Column:
     """The number of a row's block of time, null where the length is."""
     return ((time_ms - F.pmod(time_ms, length)) / length).cast("long")
-
-
-def block_of(blocks: dict[str, int], key: Column, time_ms: Column) -> Column:
-    """The number of a row's block of time, null for a key that isn't split."""
-    if not blocks:
-        return F.lit(None).cast("long")
-    lengths = F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv))
-    return block_number(time_ms, F.try_element_at(lengths, key))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,28 +46,28 @@ def timelines(trends: DataFrame, events: DataFrame) -> DataFrame:
     return path.join(events.select("event_id", "event_type", "event_time_ms", "partition_key"), "event_id", "left").select("trend_id", "ordinal", "event_id", "event_type", "event_time_ms", "partition_key")
 
 
-QUESTIONS = (
-    "Which entities do all events on this path share?",
-    "Should a control have stepped in between the first and the last event?",
-    "Has this user or host had similar trends lately?",
-    "Which valuable or sensitive objects does the path touch?",
-    "Would another time window change the finding?",
-)
-CHECKS = (
-    "Do the events belong to one and the same identity, session and host?",
-    "Was this approved work or maintenance?",
-    "Are events on the path repeated or replayed?",
-    "Are the clocks of the sources right?",
-)
-SERIOUS_CHECK = "Has an analyst decided before this is suppressed?"
-ACTIONS = ("Keep the raw events of the whole path.", "Look for what shares identity, host, session or address.", "Replay with the changed rule before changing it.")
-
-
-def investigations(trends: DataFrame, events: DataFrame, techniques: dict[str, list[str]] | None = None) -> DataFrame:
-    """One package per trend: its timeline as a sorted list, techniques of its query, questions, checks and actions."""
-    steps = timelines(trends, events).groupBy("trend_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("event_time_ms", F.lit(0)).alias("at"), "ordinal", "event_id", "event_type", "event_time_ms", "partition_key"))).alias("timeline"))
+def investigations(trends: DataFrame, events: DataFrame, techniques: dict[str, list[str]] | None = None, texts: dict[str, Sequence[str]] | None = None, fields: Sequence[str] = ("user_id", "host_id", "session_id")) -> DataFrame:
+    """One package per trend: its timeline as a sorted list, techniques of its query, questions, checks and actions.
+
+    Questions follow from the trend: for each of `fields` that all events on the path share, what
+    else its value did; for one that changes along the path, why; none for a field without values.
+    `texts` are the caller's own: further `questions`, `checks`, `serious_checks` (of trends that are
+    high or critical) and `actions`; there are none by default.
+    """
+    own = dict(texts or {})
+    values = events.select("event_id", *(field(events, f).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)))
+    path = timelines(trends, events).join(values, "event_id", "left")
+    step = F.struct(F.coalesce("event_time_ms", F.lit(0)).alias("at"), "ordinal", "event_id", "event_type", "event_time_ms", "partition_key")
+    spread_of = [x for i in range(len(fields)) for x in (F.min(f"_f{i}").alias(f"_low{i}"), F.max(f"_f{i}").alias(f"_high{i}"))]
+    steps = path.groupBy("trend_id").agg(F.sort_array(F.collect_list(step)).alias("timeline"), *spread_of)
+    listed = lambda name: F.array(*map(F.lit, own.get(name, ()))).cast("array<string>")
+    asked = [
+        F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.concat(F.lit(f"What else did {f} "), F.col(f"_low{i}"), F.lit(" do around this time?"))).when(F.col(f"_low{i}").isNotNull(), F.lit(f"Why does {f} change along the path?"))
+        for i, f in enumerate(fields)
+    ]
+    questions = F.concat(F.filter(F.array(*asked).cast("array<string>"), lambda q: q.isNotNull()), listed("questions"))
+    none = F.array().cast("array<string>")
     names = F.create_map(*(x for k, v in techniques.items() for x in (F.lit(k), F.array(*map(F.lit, v))))) if techniques else None
-    known = F.coalesce(F.try_element_at(names, F.col("query_id")), F.array().cast("array<string>")) if names is not None else F.array().cast("array<string>")
-    texts = lambda xs: F.array(*map(F.lit, xs))
-    checks = F.when(F.col("severity").isin("high", "critical"), texts((*CHECKS, SERIOUS_CHECK))).otherwise(texts(CHECKS))
-    return trends.join(steps, "trend_id", "left").select("trend_id", "query_id", "severity", "risk_score", "timeline", known.alias("techniques"), texts(QUESTIONS).alias("questions"), checks.alias("checks"), texts(ACTIONS).alias("actions"))
+    known = none if names is None else F.coalesce(F.try_element_at(names, F.col("query_id")), none)
+    checks = F.concat(listed("checks"), F.when(F.col("severity").isin("high", "critical"), listed("serious_checks")).otherwise(none))
+    return trends.join(steps, "trend_id", "left").select("trend_id", "query_id", "severity", "risk_score", "timeline", known.alias("techniques"), questions.alias("questions"), checks.alias("checks"), listed("actions").alias("actions"))

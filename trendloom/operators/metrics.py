@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
-from time import perf_counter
+import json
+import re
+from collections.abc import Sequence
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 # Names of the metrics that a run reports.
 METRICS = ("paths_found", "paths_truncated", "states_truncated", "temporal_rejects", "error_records", "success_records")
+# Metrics that every run must report, and their dimensions.
+REQUIRED = (
+    "batch_duration_ms", "graph_build_duration_ms", "runtime_duration_ms", "events_in", "vertices_built", "edges_built", "trends_emitted", "paths_truncated",
+    "state_read_count", "state_write_count", "state_expired_count", "replay_backlog", "dlq_ratio", "native_threads_used", "mmap_workspace_bytes",
+)
+DIMENSIONS = ("query_id", "query_version", "partition_key", "batch_id", "runtime_mode")
 COLUMNS = "stream_id string, batch_id bigint, query_id string, query_version string, partition_key string, metric_name string, metric_value double"
 
 
@@ -54,24 +62,81 @@ def alerts(metrics: DataFrame, rules: Sequence[tuple[str, str, float, str]]) ->
     return metrics.join(F.broadcast(table), "metric_name").where("metric_value > threshold").select("alert", "severity", "metric_name", "metric_value")
 
 
-class MetricBuffer:
-    """Metrics of a driver's steps, kept until they are written as rows of `COLUMNS`."""
+def load_rules(path: str | Path) -> list[tuple[str, str, float, str, int]]:
+    """Alert rules (alert, metric, threshold, severity, seconds) of a YAML or JSON file with a list `alerts`.
 
-    def __init__(self, stream_id: str, batch_id: int) -> None:
-        self.stream_id, self.batch_id = stream_id, batch_id
+    Each has name, severity, expr (`metric > threshold`) and for (a number with s, m or h; by default at once).
+    """
+    text = Path(path).read_text(encoding="utf-8")
+    try:
+        document = json.loads(text)
+    except ValueError:
+        import yaml
+
+        document = yaml.safe_load(text)
+    rules = []
+    for r in document["alerts"]:
+        metric, threshold = (x.strip() for x in str(r["expr"]).split(">"))
+        n, unit = re.fullmatch(r"(\d+)\s*([smh]?)", str(r.get("for", "0"))).groups()
+        rules.append((r["name"], metric, float(threshold), r.get("severity", "page"), int(n) * {"": 1, "s": 1, "m": 60, "h": 3600}[unit]))
+    return rules
+
+
+def sustained_alerts(samples: DataFrame, rules: Sequence[tuple[str, str, float, str, int]]) -> DataFrame:
+    """(alert, severity, metric_name, since_ms, until_ms): breaches that last as long as their rule asks.
+
+    `samples` are (metric_name, at_ms, metric_value). A breach is a stretch of consecutive samples
+    of a metric above the threshold; it lasts from its first to its last sample, and counts where
+    that is `seconds` at least. A null value is no breach and ends one.
+    """
+    table = samples.sparkSession.createDataFrame(list(rules), "alert string, metric_name string, threshold double, severity string, seconds bigint")
+    w = Window.partitionBy("alert").orderBy("at_ms")
+    marked = samples.join(F.broadcast(table), "metric_name").withColumn("over", F.coalesce(F.col("metric_value") > F.col("threshold"), F.lit(False)))
+    runs = marked.withColumn("nth", F.sum(F.when(F.col("over"), 0).otherwise(1)).over(w)).where("over")
+    return (
+        runs.groupBy("alert", "severity", "metric_name", "seconds", "nth").agg(F.min("at_ms").alias("since_ms"), F.max("at_ms").alias("until_ms"))
+        .where(F.col("until_ms") - F.col("since_ms") >= F.col("seconds") * 1000).select("alert", "severity", "metric_name", "since_ms", "until_ms")
+    )
+
+
+def replay_backlog(windows: DataFrame, trends: DataFrame) -> DataFrame:
+    """(metric_name, metric_value) of the windows still to be recomputed: those of a query and key of which no trend was
+    written (updated_at, else created_at) since the window was made. Windows that lack any of these are not counted."""
+    keys = ["query_id", "query_version", "partition_key"]
+    written = trends.groupBy(*keys).agg(F.max(F.coalesce("updated_at", "created_at")).alias("written"))
+    usable = windows.dropna(subset=[*keys, "created_at"])
+    open_ = usable.join(written, keys, "left").where("written IS NULL OR written < created_at")
+    return open_.agg(F.count(F.lit(1)).cast("double").alias("metric_value")).select(F.lit("replay_backlog").alias("metric_name"), "metric_value")
+
+
+def required_metrics(measured: DataFrame) -> DataFrame:
+    """(metric_name, metric_value, measured): every required metric once, with its sum where a run measured it, else null."""
+    names = measured.sparkSession.createDataFrame([(n,) for n in REQUIRED], "metric_name string")
+    sums = measured.groupBy("metric_name").agg(F.sum("metric_value").alias("metric_value"))
+    return names.join(sums, "metric_name", "left").withColumn("measured", F.col("metric_value").isNotNull())
+
+
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """`df`, and an observation that holds the aggregates once a plan over `df` has run: no pass of its own."""
+    seen = Observation()
+    return df.observe(seen, *(m.alias(n) for n, m in metrics.items())), seen
+
+
+class StreamMetrics(StreamingQueryListener):
+    """Metrics of a session's streams as rows of `COLUMNS`: rows in, durations, and what `DataFrame.observe` named."""
+
+    def __init__(self) -> None:
         self.rows: list[tuple] = []
 
-    def add(self, name: str, value: float, query_id: str = "_all", version: str | None = None, key: str | None = None) -> None:
-        self.rows.append((self.stream_id, self.batch_id, query_id, version, key, name, float(value)))
-
-    @contextmanager
-    def timer(self, name: str, query_id: str = "_all") -> Iterator[None]:
-        """Adds the milliseconds that the block takes, also if it fails."""
-        began = perf_counter()
-        try:
-            yield
-        finally:
-            self.add(name, (perf_counter() - began) * 1000, query_id)
+    def onQueryStarted(self, event: object) -> None: ...
+
+    def onQueryTerminated(self, event: object) -> None: ...
+
+    def onQueryProgress(self, event: object) -> None:
+        p = event.progress
+        values = {"events_in": p.numInputRows, "batch_duration_ms": p.batchDuration}
+        values |= {k: v for held in p.observedMetrics.values() for k, v in held.asDict().items() if isinstance(v, int | float)}
+        self.rows += [(p.name or str(p.id), p.batchId, "_all", None, None, k, float(v)) for k, v in values.items()]
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, COLUMNS)

@@ -345,10 +345,13 @@ T3 = f"t AS (SELECT {SHA(3)} AS trend_id, s0.partition_key, s0.event_id AS e0, s
 EV3 = f"WITH {C}, {T3}, v AS (SELECT trend_id, e0 AS event_id, 0::bigint AS ordinal, risk_score FROM t UNION ALL SELECT trend_id, e1, 1, risk_score FROM t UNION ALL SELECT trend_id, e2, 2, risk_score FROM t)"
 add("kg_evidence", lambda s, d: knowledge.trend_evidence(_trends(s, d)), f"{EV3} SELECT trend_id, 'q' AS query_id, event_id, ordinal, risk_score FROM v")
 add("timeline", lambda s, d: knowledge.timelines(_trends(s, d), events(s, d)), f"{EV3} SELECT trend_id, ordinal, event_id, event_type, event_time_ms, partition_key FROM v JOIN c USING (event_id)")
+TEXTS = {"checks": ("Was this approved work?",), "serious_checks": ("Has a second person looked at it?",)}
 add(
     "investigation_flags",
-    lambda s, d: knowledge.investigations(_trends(s, d), events(s, d), {"q": ["T1078"]}).select("trend_id", "severity", F.element_at("timeline", 1)["event_type"].alias("first_type"), F.size("timeline").cast("long").alias("n_timeline"), F.size("checks").cast("long").alias("n_checks"), F.array_join("techniques", ",").alias("techniques")),
-    f"WITH {C}, {T3} SELECT trend_id, severity, 'click' AS first_type, 3::bigint AS n_timeline, 5::bigint AS n_checks, 'T1078' AS techniques FROM t",
+    lambda s, d: knowledge.investigations(_trends(s, d), events(s, d), {"q": ["T1078"]}, TEXTS).select("trend_id", "severity", F.element_at("timeline", 1)["event_type"].alias("first_type"), F.size("timeline").cast("long").alias("n_timeline"), F.size("checks").cast("long").alias("n_checks"), F.array_join("techniques", ",").alias("techniques"), F.array_join("questions", " ").alias("questions")),
+    f"""WITH {C}, {T3} SELECT trend_id, severity, 'click' AS first_type, 3::bigint AS n_timeline, 2::bigint AS n_checks, 'T1078' AS techniques,
+ 'What else did user_id ' || a.user_id || ' do around this time? What else did host_id ' || a.host_id || ' do around this time? ' || CASE WHEN a.session_id = b.session_id AND b.session_id = z.session_id THEN 'What else did session_id ' || a.session_id || ' do around this time?' ELSE 'Why does session_id change along the path?' END AS questions
+FROM t JOIN c a ON a.event_id = e0 JOIN c b ON b.event_id = e1 JOIN c z ON z.event_id = e2""",
 )
 
 

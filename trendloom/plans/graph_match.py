@@ -8,67 +8,109 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.plans.match import candidates
+from trendloom.plans.match import candidates, path_text
 from trendloom.plans.spec import QuerySpec
-from trendloom.plans.walk import walk_steps
+from trendloom.plans.walk import repeats_take, walk_steps
 from trendloom.session import settle
 
 
-def match_graph(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = (), max_length: int | None = None, settle_every: int = 1) -> DataFrame:
-    """All walks (partition_key, path, matched) along edges (src, dst, window_start_ms, window_end_ms), each once.
+def _search(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tuple[str, ...], max_length: int | None, ways: bool, counted: bool) -> dict[str, DataFrame]:
+    """The levels of the search: `found` walks, and if counted `rejected` expansions, `cut` partial walks and `seeds`.
 
-    As walks over consecutive events, but the next event is any that an edge leads to: of the
-    awaited type it moves the pattern on, else it is only put on the path. Its time must not be
-    before that of the event before or of the first, nor more than `within_ms` after the first;
-    where an edge has a window, both ends must lie in it. Parallel edges give a path once.
-    `matched` holds the events that took a step. Without `max_length` the frontier runs until it
-    is empty, and a path holds no event twice (events of one time may lie on a cycle). With it,
-    longer paths are left out: a parameter of the question. partition_key is that of the first
-    event. Edges to unknown events lead nowhere.
-
-    Plan: one join of the frontier with the edges per level, on the source event; edges carry
-    their target, so the frontier alone moves. Each level is written down (every `settle_every` levels, if larger), so that no level is worked out twice.
+    One join of the frontier with the edges per level, on the source event; edges carry their
+    target, so the frontier alone moves. Each level is written down, so none is worked out twice.
     """
     steps = walk_steps(spec)
-    known = candidates(events, spec, fields)
-    nodes = known.select(F.col("ev")["id"].alias("node"), "partition_key", "ev")
+    nodes = candidates(events, spec, fields).select(F.col("ev")["id"].alias("node"), "partition_key", "ev")
     src = nodes.select(F.col("node").alias("src"), F.col("ev")["t"].alias("src_t"))
     dst = nodes.select(F.col("node").alias("dst"), F.col("ev").alias("next"))
-    ok = (F.col("next")["t"] >= F.col("src_t")) & (F.col("next")["t"] - F.col("src_t") <= spec.within_ms)
     windowed = F.col("window_end_ms") > F.col("window_start_ms")
     inside = F.col("src_t").between(F.col("window_start_ms"), F.col("window_end_ms")) & F.col("next")["t"].between(F.col("window_start_ms"), F.col("window_end_ms"))
-    hops = edges.join(src, "src").join(dst, "dst").where(ok & (~windowed | inside)).select("src", "next").distinct()
-    hops = settle(hops, "hops")
+    backward = F.col("next").isNull() | (F.col("next")["t"] < F.col("src_t")) | (F.col("next")["t"] - F.col("src_t") > spec.within_ms)
+    reason = F.when(backward, "temporal").when(windowed & ~inside, "edge_window")
+    hops = edges.join(src, "src").join(dst, "dst", "left" if counted else "inner").select("src", "dst", "next", reason.alias("reason"))
+    if not counted:
+        hops = hops.where("reason IS NULL")
+    hops = settle(hops.distinct(), "hops")
 
     first = nodes.where(F.col("ev")["y"] == steps[0][0])
-    frontier = first.select("partition_key", F.col("node").alias("at"), F.lit(1).alias("step"), F.array("ev").alias("path"), F.array("ev").alias("matched"))
-    done = [frontier.where(F.col("step") == len(steps))]
+    start = [F.array("ev").alias("matched")] if ways else []
+    frontier = first.select("partition_key", F.col("node").alias("at"), F.lit(1).alias("step"), F.array("ev").alias("path"), *start)
+    seeds = frontier.select("partition_key")
+    done, rejected = [frontier.where(F.col("step") == len(steps))], []
     frontier = frontier.where(F.col("step") < len(steps))
-    for level in count(1) if max_length is None else range(1, max_length):
-        reached = frontier.join(hops, frontier["at"] == hops["src"]).where(F.col("next")["t"] - F.col("path")[0]["t"] <= spec.within_ms)
-        if max_length is None:
-            reached = reached.where(~F.array_contains(F.transform("path", lambda e: e["id"]), F.col("next")["id"]))
-        awaited = F.element_at(F.array(*(F.lit(n) for n, _ in steps)), F.col("step") + 1)
-        repeats = F.element_at(F.array(*(F.lit(k) for _, k in steps)), F.col("step") + 1)
-        fits = F.col("next")["y"] == awaited
-        goes = F.when(~fits, F.array(F.col("step"))).when(repeats, F.array(F.col("step"), F.col("step") + 1)).otherwise(F.array(F.col("step") + 1))
-        moved = reached.select(
-            "partition_key",
-            F.col("next")["id"].alias("at"),
-            F.explode(goes).alias("step"),
-            F.concat("path", F.array("next")).alias("path"),
-            F.when(fits, F.concat("matched", F.array("next"))).otherwise(F.col("matched")).alias("matched"),
-        ).distinct()
-        if level % settle_every == 0 or level + 1 == max_length:
-            moved = settle(moved, "frontier")
-            done.append(moved.where(F.col("step") == len(steps)))
-            frontier = moved.where(F.col("step") < len(steps))
-            if frontier.isEmpty():
-                break
-        else:
-            done.append(moved.where(F.col("step") == len(steps)))
-            frontier = moved.where(F.col("step") < len(steps))
-    found = reduce(DataFrame.unionByName, done)
-    # a walk may match in several ways; the first in order stands for all
-    text = F.array_join(F.transform("path", lambda e: e["id"].cast("string")), ",")
-    return found.withColumn("ids", text).groupBy("partition_key", "ids").agg(F.min_by("path", F.size("matched")).alias("path"), F.max_by("matched", F.size("matched")).alias("matched")).drop("ids")
+
+    def expanded(front: DataFrame) -> DataFrame:
+        """Partial walks with each edge that leads on, and why it can't be taken; no event is on a walk twice."""
+        on = front.join(hops, front["at"] == hops["src"])
+        late = F.coalesce(F.col("next")["t"] - F.col("path")[0]["t"] > spec.within_ms, F.lit(False))
+        why = F.when((F.col("reason") == "temporal") | late, "temporal").otherwise(F.col("reason"))
+        on = on.where(~F.array_contains(F.transform("path", lambda e: e["id"]), F.col("dst"))).withColumn("reason", why)
+        return on if counted else on.where("reason IS NULL")
+
+    awaited = F.element_at(F.array(*(F.lit(n) for n, _ in steps)), F.col("step") + 1)
+    repeats = F.element_at(F.array(*(F.lit(k) for _, k in steps)), F.col("step") + 1)
+    fits = F.coalesce(F.col("next")["y"] == awaited, F.lit(False)) & F.col("reason").isNull()
+    to = lambda step, took: F.struct(step.alias("step"), F.lit(took).alias("took"))
+    stays, moves = to(F.col("step"), False), to(F.col("step") + 1, True)
+    stays_or_moves = [stays, moves, to(F.col("step"), True)] if ways and repeats_take(spec) else [stays, moves]
+    goes = F.when(~fits, F.array(stays)).when(repeats, F.array(*stays_or_moves)).otherwise(F.array(moves))
+    took = [F.when(F.col("go.took"), F.concat("matched", F.array("next"))).otherwise(F.col("matched")).alias("matched")] if ways else []
+    for _level in count(1) if max_length is None else range(1, max_length):
+        moved = expanded(frontier).withColumn("go", F.explode(goes)).select("partition_key", F.col("dst").alias("at"), "go.step", F.concat("path", F.array("next")).alias("path"), *took, "reason").distinct()
+        moved = settle(moved, "frontier")
+        rejected.append(moved.where("reason IS NOT NULL").select("partition_key", "reason"))
+        live = moved.where("reason IS NULL").drop("reason")
+        done.append(live.where(F.col("step") == len(steps)))
+        frontier = live.where(F.col("step") < len(steps))
+        if frontier.isEmpty():
+            break
+    out = {"found": reduce(DataFrame.unionByName, done).select("partition_key", "path", *(["matched"] if ways else []))}
+    if counted:
+        out["seeds"] = seeds
+        out["rejected"] = reduce(DataFrame.unionByName, rejected) if rejected else seeds.limit(0).withColumn("reason", F.lit(""))
+        goes_on = expanded(frontier).where("reason IS NULL").select("partition_key", "at", "step", "path").distinct()
+        out["cut"] = goes_on.select("partition_key")
+    return out
+
+
+def match_graph(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tuple[str, ...] = (), max_length: int | None = None, ways: bool = False) -> DataFrame:
+    """All walks (partition_key, path) along edges (src, dst, window_start_ms, window_end_ms), each once.
+
+    As walks over consecutive events, but the next event is any that an edge leads to: of the
+    awaited type it moves the pattern on, else it is only put on the path. Its time must not be
+    before that of the event before, nor more than `within_ms` after the first; where an edge has
+    a window, both ends must lie in it. Parallel edges give a path once, and a path holds no event
+    twice (events of one time may lie on a cycle), so the frontier runs until it is empty. With
+    `max_length` longer paths are left out: a parameter of the question, and `graph_statistics`
+    tells how many partial walks it cuts. partition_key is that of the first event. Edges to
+    unknown events lead nowhere.
+
+    With `ways` a path comes once for each way of matching it, with `matched`, the events that took
+    a step (`trendloom.plans.walk`).
+    """
+    found = _search(events, edges, spec, fields, max_length, ways, False)["found"]
+    return found.distinct() if ways else found.withColumn("ids", path_text(F.col("path"))).dropDuplicates(["partition_key", "ids"]).drop("ids")
+
+
+def graph_statistics(events: DataFrame, edges: DataFrame, spec: QuerySpec, max_length: int | None = None) -> DataFrame:
+    """What a search over a graph did, by key of the first event: (partition_key, seed_paths, paths_found, max_depth,
+    paths_truncated, states_truncated, temporal_rejects, edge_window_rejects, overflow).
+
+    A reject is an edge that a partial walk could not take, each once for each partial walk:
+    `temporal` where its event is unknown, earlier than the one before or beyond `within_ms`, else
+    `edge_window` where one of its ends lies outside its window. paths_truncated counts the partial
+    walks that `max_length` cut although an edge leads on; states_truncated is 0, since no state is
+    ever dropped. `overflow` is 1 where anything was cut.
+    """
+    s = _search(events, edges, spec, (), max_length, False, True)
+    one = lambda df, name, n=None: df.select("partition_key", F.lit(name).alias("m"), (F.lit(1) if n is None else n).cast("long").alias("n"))
+    found = s["found"].withColumn("ids", path_text(F.col("path"))).dropDuplicates(["partition_key", "ids"])
+    rows = [one(s["seeds"], "seed_paths"), one(found, "paths_found"), one(found, "max_depth", F.size("path")), one(s["cut"], "paths_truncated")]
+    rows.append(s["rejected"].select("partition_key", F.concat("reason", F.lit("_rejects")).alias("m"), F.lit(1).cast("long").alias("n")))
+    total = lambda m: F.coalesce(F.sum(F.when(F.col("m") == m, F.col("n"))), F.lit(0)).alias(m)
+    out = reduce(DataFrame.unionByName, rows).groupBy("partition_key").agg(
+        total("seed_paths"), total("paths_found"), F.coalesce(F.max(F.when(F.col("m") == "max_depth", F.col("n"))), F.lit(0)).alias("max_depth"), total("paths_truncated"),
+        F.lit(0).cast("long").alias("states_truncated"), total("temporal_rejects"), total("edge_window_rejects"),
+    )
+    return out.withColumn("overflow", (F.col("paths_truncated") > 0).cast("long"))

@@ -89,3 +89,27 @@ def local_walks(steps: Sequence[tuple[str, bool]], events: Sequence[Event], with
                 found[(s, p)] = None
             at = then
     return [tuple(e["event_id"] for e in line[s : p + 1]) for s, p in sorted(found)]
+
+
+def local_walk_ways(steps: Sequence[tuple[str, bool]], events: Sequence[Event], within_ms: int) -> set[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """(identifiers of a walk, of the events that took a step) for every way of matching each walk, one event a step."""
+    line = sorted(events, key=order)
+    found = set()
+
+    def extend(s: int, took: tuple[int, ...], p: int) -> None:
+        if len(took) == len(steps):
+            found.add((tuple(e["event_id"] for e in line[s:p]), tuple(line[i]["event_id"] for i in took)))
+            return
+        if p == len(line) or line[p]["event_time_ms"] - line[s]["event_time_ms"] > within_ms:
+            return
+        name, repeats = steps[len(took)]
+        fits = line[p]["event_type"] == name
+        if fits:
+            extend(s, (*took, p), p + 1)
+        if not fits or repeats:
+            extend(s, took, p + 1)
+
+    for s, seed in enumerate(line):
+        if seed["event_type"] == steps[0][0]:
+            extend(s, (s,), s + 1)
+    return found
