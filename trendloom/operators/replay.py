@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.session import settle
+
+if TYPE_CHECKING:
+    from trendloom.engine import Options
+    from trendloom.plans.spec import Registry
+
 
 def changed_between(events: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     """Events of a given range of event time, both ends included."""
@@ -35,29 +43,68 @@ def impacted_windows(changed: DataFrame, registry: DataFrame, lateness_ms: int =
     )
 
 
+def merged_windows(windows: DataFrame) -> DataFrame:
+    """(query_id, query_version, partition_key, start_ms, end_ms): the continuous periods of a query's windows in a key."""
+    from trendloom.operators.intervals import periods_and_gaps
+
+    key = F.to_json(F.struct("query_id", "query_version", "partition_key"))
+    merged = periods_and_gaps(windows.withColumn("_k", key), key="_k").where("kind = 'period'")
+    names = F.from_json("k", "query_id string, query_version string, partition_key string")
+    return merged.select(names.alias("n"), "start_ms", "end_ms").select("n.*", "start_ms", "end_ms")
+
+
+def events_in_periods(events: DataFrame, periods: DataFrame, stretch_ms: int = 86_400_000) -> DataFrame:
+    """Events in a period (of `merged_windows`) of their key, once for each query that has one, with the query.
+
+    Both sides are joined by key and stretch of time, so an event of a hot key meets only the
+    periods near it. A period goes to each stretch that it touches.
+    """
+    near = lambda t: F.floor(t / stretch_ms)
+    spans = periods.withColumn("_at", F.explode(F.sequence(near(F.col("start_ms")), near(F.col("end_ms")))))
+    found = events.withColumn("_at", near(F.col("event_time_ms"))).join(spans, ["partition_key", "_at"]).where(F.col("event_time_ms").between(F.col("start_ms"), F.col("end_ms")))
+    return found.select("query_id", "query_version", *events.columns)
+
+
 def events_in_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
     """Distinct events in some window of their key, with the window's query, for recomputing.
 
     Windows of a key and query are merged first, so that an event meets few of them.
     """
-    from trendloom.operators.intervals import periods_and_gaps
+    return events_in_periods(events, merged_windows(windows))
 
-    key = F.to_json(F.struct("query_id", "query_version", "partition_key"))
-    merged = periods_and_gaps(windows.withColumn("_k", key), key="_k").where("kind = 'period'")
-    names = F.from_json("k", "query_id string, query_version string, partition_key string")
-    spans = merged.select(names.alias("n"), "start_ms", "end_ms").select("n.*", "start_ms", "end_ms")
-    return events.join(spans, "partition_key").where(F.col("event_time_ms").between(F.col("start_ms"), F.col("end_ms"))).select("query_id", "query_version", *events.columns)
+
+def recompute(events: DataFrame, windows: DataFrame, registry: Registry, options: Options | None = None) -> DataFrame:
+    """Trends of the enabled queries, found again in the impacted windows of their keys.
+
+    For each query, its matcher runs over the events of its windows, each made wider by the query's
+    `within_ms` on both sides: so every trend that overlaps a window is found again if it still
+    holds, and what `stale_trends` misses is gone indeed. The registry is small (rules, not data).
+    """
+    from trendloom.engine import run
+    from trendloom.plans.spec import Registry
+
+    queries = registry.enabled()
+    within = reduce(lambda other, q: F.when((F.col("query_id") == q.query_id) & (F.col("query_version") == q.version), q.within_ms).otherwise(other), queries, F.lit(None).cast("long"))
+    wider = windows.withColumn("_within", within).where("_within IS NOT NULL").withColumn("window_start_ms", F.col("window_start_ms") - F.col("_within")).withColumn("window_end_ms", F.col("window_end_ms") + F.col("_within"))
+    scope = settle(events_in_periods(events, settle(merged_windows(wider), "periods")), "scope")
+    mine = lambda q: scope.where((F.col("query_id") == q.query_id) & (F.col("query_version") == q.version)).drop("query_id", "query_version")
+    return reduce(DataFrame.unionByName, (run(mine(q), Registry((q,)), options) for q in queries))
 
 
 KEYS = ("query_id", "query_version", "partition_key")
 
 
-def stale_trends(current: DataFrame, windows: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """(trend_id): active trends that overlap an impacted window of their query and key and were not found again."""
+def overlapping(current: DataFrame, windows: DataFrame) -> DataFrame:
+    """Active trends that overlap an impacted window of their query and key, each once."""
     w = windows.select(*KEYS, "window_start_ms", "window_end_ms").distinct()
     overlap = (F.col("trend_end_time_ms") >= F.col("window_start_ms")) & (F.col("trend_start_time_ms") <= F.col("window_end_ms"))
-    hit = current.where(F.col("state") == "active").join(w, list(KEYS)).where(overlap)
-    return hit.select("trend_id").distinct().join(recomputed.select("trend_id"), "trend_id", "left_anti")
+    on = reduce(lambda a, b: a & b, (current[k] == w[k] for k in KEYS)) & overlap
+    return current.where(F.col("state") == "active").join(w, on, "left_semi")
+
+
+def stale_trends(current: DataFrame, windows: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """(trend_id): active trends that overlap an impacted window of their query and key and were not found again."""
+    return overlapping(current, windows).select("trend_id").distinct().join(recomputed.select("trend_id"), "trend_id", "left_anti")
 
 
 def retract(current: DataFrame, stale: DataFrame, changes: dict[str, Column] | None = None) -> DataFrame:
@@ -109,11 +156,11 @@ def diff_trends(base: DataFrame, candidate: DataFrame) -> DataFrame:
     return a.join(b, "trend_id", "full_outer").select("trend_id", diff.alias("diff"))
 
 
-def replay_diff(current: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """(trend_id, diff_type): stale_retract, new_insert, or changed_update where the path differs."""
-    a = current.select("trend_id", F.col("path").alias("_p"), F.lit(True).alias("_a"))
-    b = recomputed.select("trend_id", F.col("path").alias("_q"), F.lit(True).alias("_b"))
-    kind = F.when(F.col("_b").isNull(), "stale_retract").when(F.col("_a").isNull(), "new_insert").when(~F.col("_p").eqNullSafe(F.col("_q")), "changed_update")
+def replay_diff(current: DataFrame, recomputed: DataFrame, compared: Sequence[str] = ("path",)) -> DataFrame:
+    """(trend_id, diff_type): stale_retract, new_insert, or changed_update where one of the `compared` columns differs."""
+    side = lambda df, name: df.select("trend_id", F.struct(*compared).alias(f"_{name}"))
+    a, b = side(current, "a"), side(recomputed, "b")
+    kind = F.when(F.col("_b").isNull(), "stale_retract").when(F.col("_a").isNull(), "new_insert").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed_update")
     return a.join(b, "trend_id", "full_outer").select("trend_id", kind.alias("diff_type")).where("diff_type IS NOT NULL").distinct()
 
 

@@ -195,6 +195,19 @@ add("walk_next_match_7d", lambda s, d: shown(find(events(s, d), spec("click,view
 add("walk_kleene_mid", lambda s, d: shown(find(events(s, d), spec("click,view+,purchase", 7 * DAY), _WALK)), NUMBERED.format(where="", spans=MID))
 
 
+# relations and absence look at the events that take a step, in every way of matching a walk
+ONE_USER = [{"field": "asset_id", "op": "same"}]
+_SAME = lambda a, b: f"(coalesce({a}.asset_id = {b}.asset_id, true))"
+_WAYS = MID.replace(" WHERE ", " JOIN p z ON z.partition_key = v.partition_key AND z.pos = v.np WHERE ")
+add("walk_relation", lambda s, d: shown(find(events(s, d), spec("click,view+,purchase", 7 * DAY, relations=ONE_USER), _WALK)), NUMBERED.format(where="", spans=f"{_WAYS} AND {_SAME('a', 'v')} AND {_SAME('v', 'z')} AND {_SAME('a', 'z')}"))
+_STEPS = NEXT.replace(" WHERE ", " JOIN p z ON z.partition_key = v.partition_key AND z.pos = v.np WHERE ")
+add(
+    "walk_absence",
+    lambda s, d: shown(find(events(s, d), spec("click,view,purchase", 7 * DAY, absence=[{"event_type": "error", "within_ms": DAY}]), _WALK)),
+    NUMBERED.format(where="", spans=f"{_STEPS} AND NOT EXISTS (SELECT 1 FROM c x WHERE x.partition_key = a.partition_key AND x.event_type = 'error' AND x.event_time_ms BETWEEN a.event_time_ms AND z.event_time_ms AND x.event_time_ms - a.event_time_ms <= {DAY})"),
+)
+
+
 def _walk_edge(spark: SparkSession, d: str) -> DataFrame:
     from trendloom.plans.walk import match_walks
 
@@ -259,30 +272,63 @@ add(
     lambda s, d: graph.temporal_edges(graph.current_events(_changes(s, d))).select(*COLS),
     f"{CHANGES}, x AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seq DESC) = 1), y AS (SELECT * FROM x WHERE op <> 'delete'), z AS ({T_EDGES.replace('{c}', 'y')}) SELECT * FROM z WHERE dst IS NOT NULL",
 )
-_GRAPH = Options(mode="graph", entity_keys=KEYS, max_gap_ms=6 * HOUR, max_length=5)
-add(
-    "graph_walk_2step",
-    lambda s, d: shown(find(events(s, d), spec("click,purchase", 12 * HOUR), _GRAPH)),
-    f"""WITH RECURSIVE {C}, f AS (SELECT * FROM c WHERE event_type IN ('click', 'purchase')),
+# the window ends every walk, and no walk is cut
+_GRAPH = Options(mode="graph", entity_keys=KEYS, max_gap_ms=6 * HOUR)
+
+
+def graph_walks(within_ms: int, where: str) -> str:
+    return f"""WITH RECURSIVE {C}, f AS (SELECT * FROM c WHERE event_type IN ('click', 'purchase')),
 x(src, dst, relation, a, z) AS ({T_EDGES.replace("{c}", "f")} UNION ALL {E_EDGES.replace("{c}", "f")} UNION ALL SELECT * FROM ({P_EDGES.replace("{c}", "f")})),
-h AS (SELECT DISTINCT src, dst, b.event_type, b.event_time_ms FROM x JOIN f b ON b.event_id = dst WHERE src <> dst AND z - a <= {6 * HOUR}),
-r AS (SELECT partition_key, event_id AS at, event_time_ms AS t0, event_id::varchar AS path, 1 AS len, false AS done FROM f WHERE event_type = 'click'
-  UNION SELECT r.partition_key, h.dst, r.t0, r.path || ',' || h.dst, r.len + 1, h.event_type = 'purchase' FROM r JOIN h ON h.src = r.at WHERE NOT r.done AND r.len < 5 AND h.event_time_ms - r.t0 <= {12 * HOUR})
-SELECT DISTINCT partition_key, path FROM r WHERE done""",
-)
-# the same question without a greatest length: the window ends every walk
-_WHOLE = Options(mode="graph", entity_keys=KEYS, max_gap_ms=6 * HOUR)
+h AS (SELECT DISTINCT src, dst, b.event_type, b.event_time_ms, b.asset_id FROM x JOIN f b ON b.event_id = dst WHERE src <> dst AND z - a <= {6 * HOUR}),
+r AS (SELECT partition_key, event_id AS at, event_time_ms AS t0, asset_id AS a0, asset_id AS a1, [event_id] AS path, false AS done FROM f WHERE event_type = 'click'
+  UNION SELECT r.partition_key, h.dst, r.t0, r.a0, h.asset_id, list_append(r.path, h.dst), h.event_type = 'purchase' FROM r JOIN h ON h.src = r.at WHERE NOT r.done AND NOT list_contains(r.path, h.dst) AND h.event_time_ms - r.t0 <= {within_ms})
+SELECT DISTINCT partition_key, array_to_string(path, ',') AS path FROM r WHERE done AND {where}"""
+
+
+add("graph_walk_2step", lambda s, d: shown(find(events(s, d), spec("click,purchase", 2 * HOUR), _GRAPH)), graph_walks(2 * HOUR, "true"))
+add("graph_walk_whole", lambda s, d: shown(find(events(s, d), spec("click,purchase", 12 * HOUR), _GRAPH)), graph_walks(12 * HOUR, "true"))
+add("graph_walk_relation", lambda s, d: shown(find(events(s, d), spec("click,purchase", 4 * HOUR, relations=ONE_USER), _GRAPH)), graph_walks(4 * HOUR, "coalesce(a0 = a1, true)"))
 add(
-    "graph_walk_whole",
-    lambda s, d: shown(find(events(s, d), spec("click,purchase", 12 * HOUR), _WHOLE)),
-    f"""WITH RECURSIVE {C}, f AS (SELECT * FROM c WHERE event_type IN ('click', 'purchase')),
-x(src, dst, relation, a, z) AS ({T_EDGES.replace("{c}", "f")} UNION ALL {E_EDGES.replace("{c}", "f")} UNION ALL SELECT * FROM ({P_EDGES.replace("{c}", "f")})),
-h AS (SELECT DISTINCT src, dst, b.event_type, b.event_time_ms FROM x JOIN f b ON b.event_id = dst WHERE src <> dst AND z - a <= {6 * HOUR}),
-r AS (SELECT partition_key, event_id AS at, event_time_ms AS t0, [event_id] AS path, false AS done FROM f WHERE event_type = 'click'
-  UNION SELECT r.partition_key, h.dst, r.t0, list_append(r.path, h.dst), h.event_type = 'purchase' FROM r JOIN h ON h.src = r.at WHERE NOT r.done AND NOT list_contains(r.path, h.dst) AND h.event_time_ms - r.t0 <= {12 * HOUR})
-SELECT DISTINCT partition_key, array_to_string(path, ',') AS path FROM r WHERE done""",
+    "graph_walk_absence",
+    lambda s, d: shown(find(events(s, d), spec("click,purchase", 4 * HOUR, absence=[{"event_type": "click"}]), _GRAPH)),
+    graph_walks(4 * HOUR, "NOT EXISTS (SELECT 1 FROM c e, c y WHERE e.event_id = r.at AND y.partition_key = r.partition_key AND y.event_type = 'click' AND y.event_time_ms BETWEEN r.t0 AND e.event_time_ms AND y.event_id <> r.path[1])"),
 )
 
+
+# what a graph run does: the events' graph with windows of two hours, and every tenth edge the other way as well; walks of
+# up to four events, the others counted as cut
+STATS = Registry.of([{"query_id": "buy", "pattern": "click,purchase", "within_ms": 4 * HOUR, "where": [{"field": "k", "op": "gte", "value": 20, "event_type": "purchase"}]}, {"query_id": "wide", "pattern": "(click|view),purchase", "within_ms": HOUR}])
+_SHORT = Options(mode="graph", max_length=4)
+
+
+def _statistics(spark: SparkSession, d: str) -> DataFrame:
+    from trendloom.engine import statistics
+
+    e = events(spark, d)
+    forth = graph.event_graph(e.where(F.col("event_type").isin("click", "purchase")), KEYS, 6 * HOUR).select("src", "dst", "window_start_ms", (F.col("window_start_ms") + 2 * HOUR).alias("window_end_ms"))
+    back = forth.where("src % 10 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "window_start_ms", "window_end_ms")
+    return statistics(e, STATS, _SHORT, settle(forth.unionByName(back), "edges"))
+
+
+GSTATS = f"""WITH RECURSIVE {C}, f AS (SELECT * FROM c WHERE event_type IN ('click', 'purchase')),
+x0(src, dst, relation, a, z) AS ({T_EDGES.replace("{c}", "f")} UNION ALL {E_EDGES.replace("{c}", "f")} UNION ALL SELECT * FROM ({P_EDGES.replace("{c}", "f")})),
+x1 AS (SELECT src, dst, a FROM x0 WHERE src <> dst AND z - a <= {6 * HOUR}), x AS (SELECT * FROM x1 UNION ALL SELECT dst, src, a FROM x1 WHERE src % 10 = 0),
+g AS (SELECT * FROM f WHERE event_type = 'click' OR k >= 20),
+h AS (SELECT DISTINCT s.event_id AS src, x.dst, b.event_type, b.event_time_ms AS t,
+  CASE WHEN b.event_id IS NULL OR b.event_time_ms < s.event_time_ms OR b.event_time_ms - s.event_time_ms > {4 * HOUR} THEN 'temporal' WHEN NOT (s.event_time_ms BETWEEN x.a AND x.a + {2 * HOUR} AND b.event_time_ms BETWEEN x.a AND x.a + {2 * HOUR}) THEN 'edge_window' END AS reason
+  FROM x JOIN g s ON s.event_id = x.src LEFT JOIN g b ON b.event_id = x.dst),
+r AS (SELECT partition_key, event_id AS at, event_time_ms AS t0, [event_id] AS path, false AS done FROM g WHERE event_type = 'click'
+  UNION SELECT r.partition_key, h.dst, r.t0, list_append(r.path, h.dst), h.event_type = 'purchase' FROM r JOIN h ON h.src = r.at WHERE NOT r.done AND len(r.path) < 4 AND h.reason IS NULL AND NOT list_contains(r.path, h.dst) AND h.t - r.t0 <= {4 * HOUR}),
+j AS (SELECT r.*, h.dst, CASE WHEN h.reason = 'temporal' OR h.t - r.t0 > {4 * HOUR} THEN 'temporal' ELSE h.reason END AS why FROM r JOIN h ON h.src = r.at WHERE NOT r.done AND NOT list_contains(r.path, h.dst)),
+m AS (SELECT partition_key, len(path) = 1 AS seed, done, len(path) AS n, 0 AS cut, 0 AS tr, 0 AS er FROM r
+  UNION ALL SELECT partition_key, false, false, 0, 0, (why = 'temporal')::int, (why = 'edge_window')::int FROM j WHERE why IS NOT NULL AND len(path) < 4
+  UNION ALL SELECT partition_key, false, false, 0, 1, 0, 0 FROM (SELECT DISTINCT partition_key, j.at, path FROM j WHERE why IS NULL AND len(path) = 4)),
+st AS (SELECT partition_key, count(*) FILTER (WHERE seed) AS seed_paths, count(*) FILTER (WHERE done) AS paths_found, coalesce(max(n) FILTER (WHERE done), 0)::bigint AS max_depth, sum(cut)::bigint AS paths_truncated, 0::bigint AS states_truncated,
+  sum(tr)::bigint AS temporal_rejects, sum(er)::bigint AS edge_window_rejects FROM m GROUP BY 1),
+gs AS (SELECT 'buy' AS query_id, 'v1' AS query_version, st.*, (paths_truncated > 0)::bigint AS overflow, (SELECT count(*) FROM f WHERE f.partition_key = st.partition_key AND event_type = 'purchase' AND k < 20) AS predicate_rejects, 'ok' AS status FROM st
+ UNION ALL SELECT 'wide', 'v1', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'err')"""
+add("graph_statistics", lambda s, d: _statistics(s, d).drop("error"), f"{GSTATS} SELECT * FROM gs")
+
 # enrichment
 FULL = ("user_id", "host_id", "session_id", "asset_id", "asset_criticality")
 HIGH = spec("click,view,purchase", DAY, severity="high", score={"boost": 5})
@@ -389,7 +435,7 @@ MULTI = f"""SELECT 'buy' AS query_id, 'v1' AS query_version, s0.partition_key, {
 UNION ALL SELECT 'errors', 'v1', s0.partition_key, {path_sql(3)}, 3, {_band(90.0, 3)} FROM {chain(["'error'", "'error'", "'purchase'"], DAY, _all_same("session_id"))}
 UNION ALL SELECT 'join', 'v2', s0.partition_key, {path_sql(2)}, 2, {_band(50.0, 2)} FROM {chain(["'signup'", "'view','click'"], 6 * HOUR, _NOERR)}"""
 add("multi_query", _multi, f"WITH {C} {MULTI}")
-add("run_stats", lambda s, d: stats(run(events(s, d), REGISTRY)), f"WITH {C}, m AS ({MULTI}) SELECT query_id, query_version, count(*) AS paths_found, max(event_count) AS max_depth, 0::bigint AS overflow FROM m GROUP BY ALL")
+add("run_stats", lambda s, d: stats(run(events(s, d), REGISTRY)), f"WITH {C}, m AS ({MULTI}) SELECT query_id, query_version, count(*) AS paths_found, max(event_count) AS max_depth FROM m GROUP BY ALL")
 _NARROW, _WIDE = (Registry.of([{"query_id": "q", "pattern": "click,view,purchase", "within_ms": w}]) for w in (12 * HOUR, DAY))
 DIFF = f"WITH {C}, w AS (SELECT {SHA(3)} AS trend_id, s2.event_time_ms - s0.event_time_ms AS span FROM {chain(CVP, DAY)})"
 add("trend_diff_window", lambda s, d: compare(events(s, d), _NARROW, _WIDE), f"{DIFF} SELECT trend_id, CASE WHEN span <= {12 * HOUR} THEN 'common' ELSE 'added' END AS diff FROM w")
@@ -400,30 +446,50 @@ add("metrics_by_query", lambda s, d: metrics.trend_metrics(run(events(s, d), REG
 
 
 def _batch(spark: SparkSession, d: str) -> DataFrame:
-    """Result rows per key of a run over orders: found paths are orders, truncated ones large, rejects old; failed ones err."""
-    o = table(spark, d, "orders")
-    rows = o.select(
-        F.lit("orders").alias("query_id"), F.lit("v1").alias("query_version"), F.col("o_orderpriority").alias("partition_key"), F.lit(1).cast("long").alias("paths_found"),
-        (F.col("o_totalprice") > 300_000).cast("long").alias("paths_truncated"), (F.col("o_totalprice") > 400_000).cast("long").alias("states_truncated"), (F.col("o_orderkey") % 7 == 0).cast("long").alias("temporal_rejects"),
-        F.when(F.col("o_orderstatus") == "P", "err").otherwise("ok").alias("status"),
-    )
-    return metrics.batch_metrics(rows)
-
-
-BATCH = """WITH b AS (SELECT 'orders' AS query_id, 'v1' AS query_version, o_orderpriority AS partition_key, count(*) AS paths_found, count(*) FILTER (WHERE o_totalprice > 300000) AS paths_truncated, count(*) FILTER (WHERE o_totalprice > 400000) AS states_truncated,
- count(*) FILTER (WHERE o_orderkey % 7 = 0) AS temporal_rejects, count(*) FILTER (WHERE o_orderstatus = 'P') AS error_records, count(*) FILTER (WHERE o_orderstatus <> 'P') AS success_records FROM orders GROUP BY ALL)"""
+    """What the graph run did by query and key, with the dead letters of the buffer as failed rows of their keys."""
+    ran = _statistics(spark, d).select("query_id", "query_version", "partition_key", *(F.coalesce(m, F.lit(0)).alias(m) for m in metrics.METRICS[:4]), "status")
+    dead = table(spark, d, "cet_dead_letter_v5").select(F.lit("_all").alias("query_id"), F.lit("v1").alias("query_version"), "partition_key", *(F.lit(0).cast("long").alias(m) for m in metrics.METRICS[:4]), F.lit("err").alias("status"))
+    return metrics.batch_metrics(ran.unionByName(dead))
+
+
+BATCH = f"""{GSTATS}, rs AS (SELECT query_id, query_version, partition_key, coalesce(paths_found, 0) AS paths_found, coalesce(paths_truncated, 0) AS paths_truncated, coalesce(states_truncated, 0) AS states_truncated, coalesce(temporal_rejects, 0) AS temporal_rejects, status FROM gs
+ UNION ALL SELECT '_all', 'v1', partition_key, 0, 0, 0, 0, 'err' FROM cet_dead_letter_v5),
+b AS (SELECT query_id, query_version, partition_key, sum(paths_found)::bigint AS paths_found, sum(paths_truncated)::bigint AS paths_truncated, sum(states_truncated)::bigint AS states_truncated,
+ sum(temporal_rejects)::bigint AS temporal_rejects, count(*) FILTER (WHERE status = 'err') AS error_records, count(*) FILTER (WHERE status = 'ok') AS success_records FROM rs GROUP BY ALL)"""
 add("batch_metrics", _batch, f"{BATCH} SELECT * FROM b")
 _long = " UNION ALL ".join(f"SELECT query_id, query_version, partition_key, '{m}' AS metric_name, {m}::double AS metric_value FROM b" for m in metrics.METRICS)
 add("metrics_unpivot", lambda s, d: metrics.long_metrics(_batch(s, d), ["query_id", "query_version", "partition_key"], list(metrics.METRICS)), f"{BATCH} {_long}")
-RATIOS = f"""{BATCH}, r AS (SELECT 'dead_letter_ratio' AS metric_name, (sum(error_records) / nullif(sum(error_records) + sum(success_records), 0))::double AS metric_value FROM b
+RATIOS = f"""{BATCH}, ra AS (SELECT 'dead_letter_ratio' AS metric_name, (sum(error_records) / nullif(sum(error_records) + sum(success_records), 0))::double AS metric_value FROM b
  UNION ALL SELECT 'truncation_ratio', (sum(paths_truncated) / greatest(sum(paths_found), 1))::double FROM b UNION ALL SELECT 'temporal_reject_rate', (sum(temporal_rejects) / greatest(sum(paths_found), 1))::double FROM b
  UNION ALL SELECT 'hot_partition_paths', max(paths_found)::double FROM b)"""
-add("derived_ratios", lambda s, d: metrics.derived_ratios(_batch(s, d)), f"{RATIOS} SELECT * FROM r")
-RULES = (("dead_letters", "dead_letter_ratio", 0.005, "page"), ("truncated", "truncation_ratio", 0.5, "page"), ("hot_key", "hot_partition_paths", 10.0, "ticket"))
+add("derived_ratios", lambda s, d: metrics.derived_ratios(_batch(s, d)), f"{RATIOS} SELECT * FROM ra")
+RULES = (("dead_letters", "dead_letter_ratio", 0.005, "page"), ("truncated", "truncation_ratio", 0.0, "page"), ("rejects", "temporal_reject_rate", 1e6, "ticket"), ("hot_key", "hot_partition_paths", 3.0, "ticket"))
 add(
     "alert_breaches",
     lambda s, d: metrics.alerts(metrics.derived_ratios(_batch(s, d)), RULES),
-    f"{RATIOS}, a(alert, metric_name, threshold, severity) AS (VALUES ('dead_letters', 'dead_letter_ratio', 0.005, 'page'), ('truncated', 'truncation_ratio', 0.5, 'page'), ('hot_key', 'hot_partition_paths', 10.0, 'ticket')) SELECT alert, severity, metric_name, metric_value FROM r JOIN a USING (metric_name) WHERE metric_value > threshold",
+    f"{RATIOS}, a(alert, metric_name, threshold, severity) AS (VALUES {', '.join(map(str, RULES))}) SELECT alert, severity, metric_name, metric_value FROM ra JOIN a USING (metric_name) WHERE metric_value > threshold",
+)
+# an hour's events by type as samples of a metric; the busy alert asks for three hours above its threshold
+BUSY = [("busy", "click", 1.0, "page", 2 * 3600), ("any", "error", 2.0, "ticket", 0)]
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    hour = F.col("event_time_ms") - F.pmod("event_time_ms", F.lit(HOUR))
+    return events(spark, d).groupBy(F.col("event_type").alias("metric_name"), hour.alias("at_ms")).agg(F.count(F.lit(1)).cast("double").alias("metric_value"))
+
+
+add(
+    "alerts_sustained",
+    lambda s, d: metrics.sustained_alerts(_samples(s, d), BUSY),
+    f"""WITH {C}, s AS (SELECT event_type AS metric_name, event_time_ms // {HOUR} * {HOUR} AS at_ms, count(*)::double AS v FROM c GROUP BY ALL), a(alert, metric_name, threshold, severity, seconds) AS (VALUES {', '.join(map(str, BUSY))}),
+m AS (SELECT *, v > threshold AS over FROM s JOIN a USING (metric_name)), n AS (SELECT *, sum((NOT over)::int) OVER (PARTITION BY alert ORDER BY at_ms) AS nth FROM m)
+SELECT alert, severity, metric_name, min(at_ms) AS since_ms, max(at_ms) AS until_ms FROM n WHERE over GROUP BY alert, severity, metric_name, seconds, nth HAVING max(at_ms) - min(at_ms) >= seconds * 1000""",
+)
+add(
+    "replay_backlog",
+    lambda s, d: metrics.replay_backlog(table(s, d, "cet_impacted_windows_v2"), table(s, d, "cet_complete_trends_v2")),
+    """SELECT 'replay_backlog' AS metric_name, count(*)::double AS metric_value FROM cet_impacted_windows_v2 w LEFT JOIN (SELECT query_id, query_version, partition_key, max(coalesce(updated_at, created_at)) AS written FROM cet_complete_trends_v2 GROUP BY ALL) t
+ ON t.query_id = w.query_id AND t.query_version = w.query_version AND t.partition_key = w.partition_key WHERE w.query_id IS NOT NULL AND w.query_version IS NOT NULL AND w.partition_key IS NOT NULL AND w.created_at IS NOT NULL AND (written IS NULL OR written < w.created_at)""",
 )
 add("event_quality", lambda s, d: metrics.event_quality(events(s, d)), f"WITH {C} SELECT event_type, count(*) AS event_count, count(DISTINCT partition_key) AS partition_count, min(event_time_ms) AS min_event_time_ms, max(event_time_ms) AS max_event_time_ms FROM c GROUP BY 1")
 
@@ -461,42 +527,95 @@ def _current(spark: SparkSession, d: str) -> DataFrame:
 
 CURRENT = """cur AS (SELECT trend_id, query_id, query_version, partition_key, path, trend_start_time_ms, trend_end_time_ms, event_count, state, coalesce(updated_at, created_at) AS written FROM cet_complete_trends_v2
  QUALIFY row_number() OVER (PARTITION BY trend_id ORDER BY coalesce(updated_at, created_at) DESC NULLS LAST, state DESC NULLS LAST, trend_end_time_ms DESC NULLS LAST, event_count DESC NULLS LAST) = 1)"""
-FOUND = "rec AS (SELECT trend_id, query_id, query_version, partition_key, list_append(path, 0) AS path, trend_start_time_ms, trend_end_time_ms, event_count + 1 AS event_count FROM cur WHERE event_count >= 4 UNION ALL SELECT 'new-' || trend_id, query_id, query_version, partition_key, path, trend_start_time_ms, trend_end_time_ms, event_count FROM cur WHERE event_count = 3)"
 
 
-def _recomputed(current: DataFrame) -> DataFrame:
-    """What a replay finds again: longer trends with one more event, and new ones in place of short ones."""
-    keep = ["trend_id", "query_id", "query_version", "partition_key", "path", "trend_start_time_ms", "trend_end_time_ms", "event_count"]
-    longer = current.where("event_count >= 4").select(*keep).withColumn("path", F.array_append("path", F.lit(0).cast("long"))).withColumn("event_count", F.col("event_count") + 1)
-    return longer.unionByName(current.where("event_count = 3").select(*keep).withColumn("trend_id", F.concat(F.lit("new-"), "trend_id")))
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events as a first run saw them, as they are now, and those that changed: in the last days every fourth came late, and every
+    seventh of the others had its asset's criticality corrected to 9.5."""
+    now = events(spark, d)
+    recent = F.col("event_time_ms").between(*LATE)
+    late, wrong = recent & (F.col("event_id") % 4 == 0), recent & (F.col("event_id") % 4 != 0) & (F.col("event_id") % 7 == 0)
+    fixed = now.withColumn("asset_criticality", F.when(wrong, F.lit(9.5)).otherwise(F.col("asset_criticality")))
+    return now.where(~late), fixed, now.where(late | wrong)
 
 
-STALE = f"""WITH {CURRENT}, {FOUND}, st AS (SELECT DISTINCT cur.trend_id FROM cur JOIN cet_impacted_windows_v2 w ON cur.query_id = w.query_id AND cur.query_version = w.query_version AND cur.partition_key = w.partition_key AND cur.state = 'active'
- AND cur.trend_end_time_ms >= w.window_start_ms AND cur.trend_start_time_ms <= w.window_end_ms WHERE cur.trend_id NOT IN (SELECT trend_id FROM rec)),
-ret AS (SELECT cur.* REPLACE (CASE WHEN st.trend_id IS NOT NULL THEN 'retracted' ELSE cur.state END AS state) FROM cur LEFT JOIN st USING (trend_id)),
-ups AS (SELECT coalesce(rec.trend_id, ret.trend_id) AS trend_id, coalesce(rec.query_id, ret.query_id) AS query_id, CASE WHEN rec.trend_id IS NULL THEN ret.state ELSE 'active' END AS state, coalesce(rec.event_count, ret.event_count) AS event_count, CASE WHEN rec.trend_id IS NULL THEN ret.path ELSE rec.path END AS path FROM ret FULL JOIN rec USING (trend_id))"""
+_KEPT = ("trend_id", "query_id", "query_version", "partition_key", "path", "trend_start_time_ms", "trend_end_time_ms", "event_count", "risk_score", "severity")
+
+
+def _replayed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trends of the first run, trends found again in the windows that the changed events impact, and the windows."""
+    before, now, changed = _versions(spark, d)
+    windows_ = settle(replay.impacted_windows(changed, REGISTRY.table(spark)), "windows")
+    current = run(before, REGISTRY).select(*_KEPT, "state")
+    found = replay.recompute(now, windows_, REGISTRY).select(*_KEPT, "state")
+    return settle(current, "current"), settle(found, "recomputed"), windows_
+
+
+def _versioned(query: str, source: str, within: int, n: int, types: list[str], base: float, where: str = "true", version: str = "v1") -> str:
+    score = f"least(100.0, {base} + {2.0 * (n - 2)} + greatest({', '.join(f's{i}.asset_criticality' for i in range(n))}))::double"
+    return f"""SELECT sha256('{query}:{version}:' || s0.partition_key || ':' || {path_sql(n)}) AS trend_id, '{query}' AS query_id, '{version}' AS query_version, s0.partition_key, {path_sql(n)} AS path, s0.event_time_ms AS t0, s{n - 1}.event_time_ms AS t1, {n}::bigint AS event_count, {score} AS risk_score,
+ {_band(base, n)} AS severity FROM {chain(types, within, where, source)}"""
+
+
+def _all_versions(source: str) -> str:
+    """The registry's trends over one version of the events, or over the events in each query's windows."""
+    at = lambda q: source if source == "c0" else f"{source}_{q}"
+    return " UNION ALL ".join(
+        [
+            _versioned("buy", at("buy"), 12 * HOUR, 3, CVP, 75.0),
+            _versioned("errors", at("errors"), DAY, 3, ["'error'", "'error'", "'purchase'"], 90.0, _all_same("session_id")),
+            _versioned("join", at("join"), 6 * HOUR, 2, ["'signup'", "'view','click'"], 50.0, _NOERR.replace("FROM c x", f"FROM {at('join')} x"), "v2"),
+        ]
+    )
+
+
+_SPANS = {"buy": 12 * HOUR, "errors": DAY, "join": 6 * HOUR}
+_RECENT = f"event_time_ms BETWEEN {LATE[0]} AND {LATE[1]}"
+REPLAYED = f"""WITH {C}, c0 AS (SELECT * FROM c WHERE NOT ({_RECENT} AND event_id % 4 = 0)), c1 AS (SELECT * REPLACE (CASE WHEN {_RECENT} AND event_id % 4 <> 0 AND event_id % 7 = 0 THEN 9.5 ELSE asset_criticality END AS asset_criticality) FROM c),
+k AS (SELECT partition_key, min(event_time_ms) AS lo, max(event_time_ms) AS hi FROM c WHERE {_RECENT} AND (event_id % 4 = 0 OR event_id % 7 = 0) GROUP BY 1),
+{", ".join(f"c1_{q} AS (SELECT c1.* FROM c1 JOIN k USING (partition_key) WHERE event_time_ms BETWEEN lo - {2 * w + 1_800_000} AND hi + {2 * w + 1_800_000})" for q, w in _SPANS.items())},
+w AS ({" UNION ALL ".join(f"SELECT '{q}' AS query_id, partition_key, lo - {w + 1_800_000} AS ws, hi + {w + 1_800_000} AS we FROM k" for q, w in _SPANS.items())}),
+cur AS ({_all_versions("c0")}), rec AS ({_all_versions("c1")}),
+st AS (SELECT DISTINCT cur.trend_id FROM cur JOIN w ON w.query_id = cur.query_id AND w.partition_key = cur.partition_key AND cur.t1 >= w.ws AND cur.t0 <= w.we WHERE cur.trend_id NOT IN (SELECT trend_id FROM rec)),
+ups AS (SELECT trend_id, query_id, path, risk_score, severity, 'active' AS state FROM rec UNION ALL SELECT trend_id, query_id, path, risk_score, severity, CASE WHEN trend_id IN (SELECT trend_id FROM st) THEN 'retracted' ELSE 'active' END FROM cur WHERE trend_id NOT IN (SELECT trend_id FROM rec))"""
 
 
 def _stale(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    current = _current(spark, d)
-    found = _recomputed(current)
-    return current, found, replay.stale_trends(current, table(spark, d, "cet_impacted_windows_v2"), found)
+    current, found, windows_ = _replayed(spark, d)
+    return current, found, replay.stale_trends(current, windows_, found)
 
 
 def _upserted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     current, found, stale = _stale(spark, d)
-    return replay.upsert(replay.retract(current, stale), found.withColumn("state", F.lit("active")), ["trend_id"]), found
+    return replay.upsert(replay.retract(current, stale), found, ["trend_id"]), found
 
 
+_path = lambda: F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path")
+add("recomputed_trends", lambda s, d: _replayed(s, d)[1].select("trend_id", "query_id", "query_version", "partition_key", _path(), "event_count", "risk_score", "severity"), f"{REPLAYED} SELECT trend_id, query_id, query_version, partition_key, path, event_count, risk_score, severity FROM rec")
 add("dedupe_latest", lambda s, d: _current(s, d).select("trend_id", "state", "event_count", F.unix_micros("written").alias("written_us")), f"WITH {CURRENT} SELECT trend_id, state, event_count, epoch_us(written) AS written_us FROM cur")
-add("retract_stale", lambda s, d: _stale(s, d)[2], f"{STALE} SELECT trend_id FROM st")
-add("replay_upsert", lambda s, d: _upserted(s, d)[0].select("trend_id", "query_id", "state", "event_count", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path")), f"{STALE} SELECT trend_id, query_id, state, event_count, array_to_string(path, ',') AS path FROM ups")
-add("replay_validation", lambda s, d: replay.validation_counts(*_upserted(s, d)), f"{STALE} SELECT 'recomputed_count' AS check_name, count(*) AS value FROM rec UNION ALL SELECT 'retracted_count', count(*) FROM ups WHERE state = 'retracted' UNION ALL SELECT 'active_after_replay_count', count(*) FROM ups WHERE state = 'active'")
-add("replay_diff", lambda s, d: replay.replay_diff(*_stale(s, d)[:2]), f"WITH {CURRENT}, {FOUND} SELECT trend_id, 'stale_retract' AS diff_type FROM cur WHERE trend_id NOT IN (SELECT trend_id FROM rec) UNION ALL SELECT trend_id, 'new_insert' FROM rec WHERE trend_id NOT IN (SELECT trend_id FROM cur) UNION ALL SELECT rec.trend_id, 'changed_update' FROM rec JOIN cur USING (trend_id) WHERE rec.path IS DISTINCT FROM cur.path")
+add("retract_stale", lambda s, d: _stale(s, d)[2], f"{REPLAYED} SELECT trend_id FROM st")
+add("replay_upsert", lambda s, d: _upserted(s, d)[0].select("trend_id", "query_id", "state", "risk_score", "severity", _path()), f"{REPLAYED} SELECT trend_id, query_id, state, risk_score, severity, path FROM ups")
+add("replay_validation", lambda s, d: replay.validation_counts(*_upserted(s, d)), f"{REPLAYED} SELECT 'recomputed_count' AS check_name, count(*) AS value FROM rec UNION ALL SELECT 'retracted_count', count(*) FROM ups WHERE state = 'retracted' UNION ALL SELECT 'active_after_replay_count', count(*) FROM ups WHERE state = 'active'")
+
+
+def _diff(spark: SparkSession, d: str) -> DataFrame:
+    """Differences between what was found in the impacted windows before and what is found there now."""
+    current, found, windows_ = _replayed(spark, d)
+    hit = replay.overlapping(current, windows_)
+    return replay.replay_diff(hit, found.join(current.join(hit, "trend_id", "left_anti"), "trend_id", "left_anti"), ("path", "risk_score", "severity"))
+
+
+add(
+    "replay_diff",
+    _diff,
+    f"""{REPLAYED}, hit AS (SELECT DISTINCT cur.* FROM cur JOIN w ON w.query_id = cur.query_id AND w.partition_key = cur.partition_key AND cur.t1 >= w.ws AND cur.t0 <= w.we),
+rin AS (SELECT * FROM rec WHERE trend_id NOT IN (SELECT trend_id FROM cur) OR trend_id IN (SELECT trend_id FROM hit))
+SELECT trend_id, 'stale_retract' AS diff_type FROM hit WHERE trend_id NOT IN (SELECT trend_id FROM rin) UNION ALL SELECT trend_id, 'new_insert' FROM rin WHERE trend_id NOT IN (SELECT trend_id FROM hit) UNION ALL SELECT rin.trend_id, 'changed_update' FROM rin JOIN hit USING (trend_id) WHERE rin.path IS DISTINCT FROM hit.path OR rin.risk_score IS DISTINCT FROM hit.risk_score OR rin.severity IS DISTINCT FROM hit.severity""",
+)
 add(
     "insert_absent",
-    lambda s, d: replay.insert_absent(_current(s, d).select("trend_id", "state"), _recomputed(_current(s, d)).select("trend_id", F.lit("inserted").alias("state")), ["trend_id"]),
-    f"WITH {CURRENT}, {FOUND} SELECT trend_id, state FROM cur UNION ALL SELECT trend_id, 'inserted' FROM rec WHERE trend_id NOT IN (SELECT trend_id FROM cur)",
+    lambda s, d: (lambda current, found, _: replay.insert_absent(current.select("trend_id", "state"), found.select("trend_id", F.lit("inserted").alias("state")), ["trend_id"]))(*_replayed(s, d)),
+    f"{REPLAYED} SELECT trend_id, 'active' AS state FROM cur UNION ALL SELECT trend_id, 'inserted' FROM rec WHERE trend_id NOT IN (SELECT trend_id FROM cur)",
 )
 
 

@@ -14,11 +14,17 @@ from trendloom.plans.walk import repeats_take, walk_steps
 from trendloom.session import settle
 
 
+#: Levels of a search between two writings.
+LEVELS = 8
+
+
 def _search(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tuple[str, ...], max_length: int | None, ways: bool, counted: bool) -> dict[str, DataFrame]:
     """The levels of the search: `found` walks, and if counted `rejected` expansions, `cut` partial walks and `seeds`.
 
-    One join of the frontier with the edges per level, on the source event; edges carry their
-    target, so the frontier alone moves. Each level is written down, so none is worked out twice.
+    One join of the partial walks with the edges per level, on the source event; edges carry their
+    target, so the walks alone move, and what is complete is carried along. A walk comes up once, as
+    its edges do, so nothing has to be made distinct. Every few levels the walks are written down,
+    so none is worked out twice.
     """
     steps = walk_steps(spec)
     nodes = candidates(events, spec, fields).select(F.col("ev")["id"].alias("node"), "partition_key", "ev")
@@ -35,42 +41,53 @@ def _search(events: DataFrame, edges: DataFrame, spec: QuerySpec, fields: tuple[
 
     first = nodes.where(F.col("ev")["y"] == steps[0][0])
     start = [F.array("ev").alias("matched")] if ways else []
-    frontier = first.select("partition_key", F.col("node").alias("at"), F.lit(1).alias("step"), F.array("ev").alias("path"), *start)
-    seeds = frontier.select("partition_key")
-    done, rejected = [frontier.where(F.col("step") == len(steps))], []
-    frontier = frontier.where(F.col("step") < len(steps))
-
-    def expanded(front: DataFrame) -> DataFrame:
-        """Partial walks with each edge that leads on, and why it can't be taken; no event is on a walk twice."""
-        on = front.join(hops, front["at"] == hops["src"])
-        late = F.coalesce(F.col("next")["t"] - F.col("path")[0]["t"] > spec.within_ms, F.lit(False))
-        why = F.when((F.col("reason") == "temporal") | late, "temporal").otherwise(F.col("reason"))
-        on = on.where(~F.array_contains(F.transform("path", lambda e: e["id"]), F.col("dst"))).withColumn("reason", why)
-        return on if counted else on.where("reason IS NULL")
+    walks = first.select("partition_key", F.col("node").alias("at"), F.lit(1).alias("step"), F.array("ev").alias("path"), *start, F.lit(None).cast("string").alias("reason"))
+    seeds = walks.select("partition_key")
+    active = (F.col("step") < len(steps)) & F.col("reason").isNull()
+
+    # columns are made once: each level is the same plan over the last one's walks
+    hops = hops.select("src", F.col("dst").alias("to"), "next", F.col("reason").alias("barred"))
+    leads_on = (F.col("at") == F.col("src")) & active
+    late = F.coalesce(F.col("next")["t"] - F.col("path")[0]["t"] > spec.within_ms, F.lit(False))
+    why = F.when((F.col("barred") == "temporal") | late, "temporal").otherwise(F.col("barred"))
+    again = F.array_contains(F.transform("path", lambda e: e["id"]), F.col("to"))
+    usable = ~active | (F.col("src").isNotNull() & ~again & (F.lit(counted) | F.col("why").isNull()))
+
+    def hop(front: DataFrame) -> DataFrame:
+        """Partial walks with each edge that leads on (`to`, `next`) and why it can't be taken (`why`); all others as they are."""
+        return front.join(hops, leads_on, "left").withColumn("why", why).where(usable)
 
     awaited = F.element_at(F.array(*(F.lit(n) for n, _ in steps)), F.col("step") + 1)
     repeats = F.element_at(F.array(*(F.lit(k) for _, k in steps)), F.col("step") + 1)
-    fits = F.coalesce(F.col("next")["y"] == awaited, F.lit(False)) & F.col("reason").isNull()
+    fits = F.coalesce(F.col("next")["y"] == awaited, F.lit(False)) & F.col("why").isNull()
     to = lambda step, took: F.struct(step.alias("step"), F.lit(took).alias("took"))
     stays, moves = to(F.col("step"), False), to(F.col("step") + 1, True)
     stays_or_moves = [stays, moves, to(F.col("step"), True)] if ways and repeats_take(spec) else [stays, moves]
-    goes = F.when(~fits, F.array(stays)).when(repeats, F.array(*stays_or_moves)).otherwise(F.array(moves))
-    took = [F.when(F.col("go.took"), F.concat("matched", F.array("next"))).otherwise(F.col("matched")).alias("matched")] if ways else []
-    for _level in count(1) if max_length is None else range(1, max_length):
-        moved = expanded(frontier).withColumn("go", F.explode(goes)).select("partition_key", F.col("dst").alias("at"), "go.step", F.concat("path", F.array("next")).alias("path"), *took, "reason").distinct()
-        moved = settle(moved, "frontier")
-        rejected.append(moved.where("reason IS NOT NULL").select("partition_key", "reason"))
-        live = moved.where("reason IS NULL").drop("reason")
-        done.append(live.where(F.col("step") == len(steps)))
-        frontier = live.where(F.col("step") < len(steps))
-        if frontier.isEmpty():
+    goes = F.when(~active | ~fits, F.array(stays)).when(repeats, F.array(*stays_or_moves)).otherwise(F.array(moves))
+    new = lambda moved, name: F.when(F.col("live"), moved).otherwise(F.col(name)).alias(name)
+    took = [F.when(F.col("live") & F.col("go.took"), F.concat("matched", F.array("next"))).otherwise(F.col("matched")).alias("matched")] if ways else []
+    tried = ["*", active.alias("live"), F.explode(goes).alias("go")]
+    after = ["partition_key", new(F.col("to"), "at"), F.col("go.step").alias("step"), new(F.concat("path", F.array("next")), "path"), *took, new(F.col("why"), "reason")]
+    complete = F.col("step") == len(steps)
+    found, rejected, left = [], [], None if max_length is None else max_length - 1
+    while left is None or left > 0:
+        levels = LEVELS if left is None else min(LEVELS, left)
+        for _level in range(levels):
+            walks = hop(walks).select(*tried).select(*after)
+        walks = settle(walks, "walks")
+        left = None if left is None else left - levels
+        found.append(walks.where(complete))
+        rejected.append(walks.where("reason IS NOT NULL").select("partition_key", "reason"))
+        walks = walks.where(active)
+        if walks.isEmpty():
             break
-    out = {"found": reduce(DataFrame.unionByName, done).select("partition_key", "path", *(["matched"] if ways else []))}
+    if not found:
+        found = [walks.where(complete)]
+    out = {"found": reduce(DataFrame.unionByName, found).select("partition_key", "path", *(["matched"] if ways else []))}
     if counted:
         out["seeds"] = seeds
         out["rejected"] = reduce(DataFrame.unionByName, rejected) if rejected else seeds.limit(0).withColumn("reason", F.lit(""))
-        goes_on = expanded(frontier).where("reason IS NULL").select("partition_key", "at", "step", "path").distinct()
-        out["cut"] = goes_on.select("partition_key")
+        out["cut"] = hop(walks.where(active)).where("why IS NULL").select("partition_key", "at", "step", "path").distinct().select("partition_key")
     return out
 
 
