@@ -82,7 +82,10 @@ def _fold(rows: DataFrame, steps: tuple[Step, ...], within_ms: int, between: Bet
     """Paths by a fold over the sorted events of each (key, anchor), carrying partial paths.
 
     A partial is (step, repeats, time of its first event, path); repeats count up to what the
-    step needs. Partials older than the window are dropped.
+    step needs. A pass from the end first finds, for each position and step, when a path that
+    takes the step there can be complete at the earliest (repeats and `between` left aside), and
+    the same for the events from there on. Only partials that can still be complete within the
+    window are kept: so each that is held begins some path, however many events repeat a step.
     """
     kind = rows.schema["ev"].dataType.simpleString()
     partial = f"array<struct<i:int,r:int,t0:bigint,path:array<{kind}>>>"
@@ -95,6 +98,27 @@ def _fold(rows: DataFrame, steps: tuple[Step, ...], within_ms: int, between: Bet
     def fits(j: int, e: Column) -> Column:
         return e[TYPE].isin(list(steps[j].types))
 
+    n = len(steps)
+    follow = [_targets(steps, i) for i in range(n)]
+    least_of = lambda xs: F.least(*xs) if len(xs) > 1 else xs[0]
+
+    def back(acc: Column, item: Column) -> Column:
+        """The events seen so far from the end, each with `g`, the earliest end of a path that takes each step there, and `f`, there or later."""
+        e, f = item["ev"], acc["f"]
+        g = [F.when(fits(j, e), e[TIME] if ends[j] else least_of([F.get(f, F.lit(k)) for k in follow[j]])) for j in range(n)]
+        now = F.array(*(F.least(F.get(f, F.lit(j)), g[j]) for j in range(n)))
+        seen = F.struct(item["own"].alias("own"), e.alias("ev"), F.array(*g).alias("g"), now.alias("f"))
+        return F.struct(now.alias("f"), F.concat(acc["out"], F.array(seen)).alias("out"))
+
+    def in_time(x: Column, g: Column) -> Column:
+        """Whether a partial that has just taken its step can be complete in time."""
+        return F.coalesce(F.get(g, x["i"]) - x["t0"] <= within_ms, F.lit(False))
+
+    def lives(x: Column, f: Column) -> Column:
+        """Whether a partial can be complete in time with events from here on."""
+        ways = [F.when((x["i"] == i) & (least_of([F.get(f, F.lit(k)) for k in [i, *follow[i]]]) - x["t0"] <= within_ms), True) for i in range(n)]
+        return F.coalesce(*ways, F.lit(False))
+
     def go_on(x: Column, e: Column) -> Column:
         options = []
         holds_ = F.lit(True) if between is None else F.coalesce(between(F.element_at(x["path"], -1), e), F.lit(False))
@@ -104,7 +128,7 @@ def _fold(rows: DataFrame, steps: tuple[Step, ...], within_ms: int, between: Bet
             cap = s.most if s.most is not None else max(s.least, 1)
             again = fits(i, e) if s.most is None else fits(i, e) & (x["r"] < s.most)
             options.append(F.when(here & again, made(i, F.least(x["r"] + 1, F.lit(cap)), x["t0"], longer)))
-            for j in _targets(steps, i):
+            for j in follow[i]:
                 options.append(F.when(here & (x["r"] >= s.least) & fits(j, e), made(j, F.lit(1), x["t0"], longer)))
         return F.filter(F.array(*options), lambda o: o.isNotNull())
 
@@ -113,16 +137,19 @@ def _fold(rows: DataFrame, steps: tuple[Step, ...], within_ms: int, between: Bet
 
     def step(acc: Column, item: Column) -> Column:
         e = item["ev"]
-        alive = F.filter(acc["p"], lambda x: e[TIME] - x["t0"] <= within_ms)
+        alive = F.filter(acc["p"], lambda x: lives(x, item["f"]))
         begun = F.filter(F.array(*(F.when(item["own"] & fits(j, e), made(j, F.lit(1), e[TIME], F.array(e))) for j in begin)), lambda o: o.isNotNull())
-        new = F.concat(F.flatten(F.transform(alive, lambda x: go_on(x, e))), begun)
+        new = F.filter(F.concat(F.flatten(F.transform(alive, lambda x: go_on(x, e))), begun), lambda x: in_time(x, item["g"]))
         done = F.transform(F.filter(new, accepted), lambda x: x["path"])
         return F.struct(F.concat(alive, new).alias("p"), F.concat(acc["d"], done).alias("d"))
 
     start = F.struct(F.array().cast(partial).alias("p"), F.array().cast(f"array<array<{kind}>>").alias("d"))
+    seen = f"array<struct<own:boolean,ev:{kind},g:array<bigint>,f:array<bigint>>>"
+    start_back = F.struct(F.array(*[F.lit(None).cast("long")] * n).alias("f"), F.array().cast(seen).alias("out"))
     item = F.struct(F.col("ev")[TIME].alias("t"), F.col("ev")[ID].alias("id"), F.col("own"), F.col("ev"))
-    lists = with_anchors(rows, within_ms).groupBy("partition_key", "anchor").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return lists.where(F.exists("items", lambda x: x["own"])).select("partition_key", F.explode(F.array_distinct(F.aggregate("items", start, step, lambda a: a["d"]))).alias("path"))
+    lists = with_anchors(rows, within_ms).groupBy("partition_key", "anchor").agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
+    lists = lists.where(F.exists("items", lambda x: x["own"])).select("partition_key", F.reverse(F.aggregate("items", start_back, back, lambda a: a["out"])).alias("items"))
+    return lists.select("partition_key", F.explode(F.array_distinct(F.aggregate("items", start, step, lambda a: a["d"]))).alias("path"))
 
 
 def ids(path: Column) -> Column:
