@@ -722,7 +722,39 @@ def _registry_trends(spark: SparkSession, d: str) -> DataFrame:
     return run(buffer, registry).groupBy("query_id", "query_version").agg(F.count(F.lit(1)).alias("n_trends"), F.count_distinct("partition_key").alias("n_keys"), F.max("event_count").alias("longest"))
 
 
-add("registry_trends", _registry_trends)
+# the enabled queries of the registry table, which is fixed: id, version, types (the first repeats where it ends in +), window, field that must be the same
+REGISTERED = (
+    ("vault_drain", "v4.1.0", ("badgefail+", "vaultopen", "vaultexport"), 1_800_000, False),
+    ("cert_swap", "v4.0.2", ("certrevoke", "certgrant", "tunnelopen"), 900_000, False),
+    ("ledger_replay", "v4.0.0", ("ledgerwrite+", "ledgersync", "ledgerreset"), 7_200_000, True),
+    ("mail_rules", "v4.0.1", ("mailboxwrite", "policywrite", "mailboxexport"), 2_700_000, False),
+    ("kernel_beacon", "v4.2.0", ("kernelwrite", "shellopen", "beaconsync", "tunnelwrite"), 1_800_000, True),
+    ("quota_probe", "v4.0.0", ("quotaread+", "probescan", "quotareset"), 600_000, False),
+    ("schema_leak", "v4.0.3", ("schemaread", "replicaopen", "replicaexport"), 3_600_000, True),
+)
+
+
+def _registered(i: int) -> str:
+    """Paths (partition_key, n) of a registered query, one state for each step, as a recursive query."""
+    _, _, types, within, same = REGISTERED[i]
+    names = [t.rstrip("+") for t in types]
+    again = f"(r.state = 1 AND b.event_type = '{names[0]}')" if types[0].endswith("+") else "false"
+    on = " OR ".join(f"(r.state = {k} AND b.event_type = '{t}')" for k, t in enumerate(names) if k)
+    host = " AND (r.host IS NULL OR b.host_id IS NULL OR r.host = b.host_id)" if same else ""
+    return f"""q{i} AS (SELECT partition_key, event_id, event_time_ms, event_time_ms AS t0, host_id AS host, 1 AS n, 1 AS state FROM c WHERE event_type = '{names[0]}'
+  UNION ALL SELECT b.partition_key, b.event_id, b.event_time_ms, r.t0, coalesce(r.host, b.host_id), r.n + 1, CASE WHEN {again} THEN 1 ELSE r.state + 1 END FROM q{i} r JOIN c b ON {later("r", "b")} AND b.event_time_ms - r.t0 <= {within} AND ({again} OR {on}){host})"""
+
+
+add(
+    "registry_trends",
+    _registry_trends,
+    f"""WITH RECURSIVE b AS (SELECT event_id, partition_key, event_time_ms, lower(regexp_replace(event_type, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS event_type, ingested_at, batch_id,
+  CASE WHEN json_valid(payload) THEN nullif(coalesce(json_extract_string(payload, '$.host_id'), json_extract_string(payload, '$.attributes.host_id')), '') END AS host
+  FROM cet_event_buffer_v5 WHERE event_id IS NOT NULL AND partition_key <> '' AND event_type <> '' AND event_time_ms > 0),
+c AS (SELECT event_id, partition_key, event_time_ms, event_type, last(host ORDER BY ingested_at NULLS FIRST, batch_id NULLS FIRST, host) FILTER (WHERE host IS NOT NULL) AS host_id FROM b GROUP BY ALL HAVING event_type IN ({", ".join(sorted({repr(t.rstrip("+")) for q in REGISTERED for t in q[2]}))})),
+{", ".join(map(_registered, range(len(REGISTERED))))}
+{" UNION ALL ".join(f"SELECT '{q[0]}' AS query_id, '{q[1]}' AS query_version, count(*) AS n_trends, count(DISTINCT partition_key) AS n_keys, max(n)::bigint AS longest FROM q{i} WHERE state = {len(q[2])} HAVING count(*) > 0" for i, q in enumerate(REGISTERED))}""",
+)
 
 
 def _standing(spark: SparkSession, d: str) -> DataFrame:

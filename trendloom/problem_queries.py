@@ -49,6 +49,15 @@ def p3_features(spark: SparkSession, d: str) -> DataFrame:
     return feature_table(canonical_events(_buffer(spark, d)))
 
 
+#: Types whose columns of the wide table its SQL checks beside the totals; a type that no event has is one of them.
+FEATURE_TYPES = ("badgefail", "certgrant", "ledgerwrite", "mailboxwrite", "nosuchtype", "quotaread", "vaultopen")
+
+
+def p3_features_chosen(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table with the columns of chosen types; other types count nowhere."""
+    return feature_table(canonical_events(_buffer(spark, d)), list(FEATURE_TYPES))
+
+
 def _corrections(spark: SparkSession, d: str) -> DataFrame:
     kept = deliver_once(_buffer(spark, d), carry=F.when(is_event(), F.col("event_time_ms")))
     return late_corrections(kept, time_ms="carry")
@@ -67,7 +76,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return periods_and_gaps(table(spark, d, "cet_impacted_windows_v2")).select(F.col("k").alias("partition_key"), "kind", "start_ms", "end_ms")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_session_lengths, p2_found, p2_kept_per_batch, p3_found, p3_features, p4_found, p4_hourly, p5_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_session_lengths, p2_found, p2_kept_per_batch, p3_found, p3_features, p3_features_chosen, p4_found, p4_hourly, p5_found)}
 
 _EVENTS = """ev AS (
   SELECT DISTINCT event_id, partition_key AS k, event_time_ms AS t,
@@ -97,6 +106,9 @@ SQL: dict[str, str] = {
     "p2_found": f"WITH {_KEPT} SELECT event_id, batch_id FROM kept WHERE n_copies > 1",
     "p2_kept_per_batch": f"WITH {_KEPT} SELECT batch_id, count(*) AS n_kept, sum(n_copies - 1)::bigint AS n_dropped FROM kept GROUP BY batch_id",
     "p3_found": f"WITH {_EVENTS} SELECT k AS partition_key, type_key, count(*) AS n_events, max(t) AS last_event_time_ms FROM ev GROUP BY ALL",
+    "p3_features_chosen": f"WITH {_EVENTS} SELECT k AS partition_key, count(*) AS n_events, max(t) AS last_event_time_ms, count(DISTINCT type_key) AS n_types, "
+    + ", ".join(f"count(*) FILTER (WHERE type_key = '{t}') AS n_{t}, max(t) FILTER (WHERE type_key = '{t}') AS last_{t}" for t in FEATURE_TYPES)
+    + f" FROM ev WHERE type_key IN {FEATURE_TYPES} GROUP BY k",
     "p4_found": f"{_LATE} SELECT DISTINCT period_start_ms, batch_id FROM late WHERE delay > 1800000000 AND delay <= 86400000000",
     "p4_hourly": f"""{_LATE}, c AS (SELECT * FROM late WHERE delay <= 86400000000)
 SELECT period_start_ms, count(*) AS n_events,
