@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions.canonical import checked, from_ecs, from_ocsf, rejects, sound
 from trendloom.operators import graph, knowledge, metrics, replay, windows
-from trendloom.sources.readers import SourceConfig, batches, http_poll, in_memory, json_lines
+from trendloom.sources.readers import SourceConfig, batches, http_messages, http_poll, in_memory, json_lines, json_lines_stream
 from trendloom.sources.writers import to_http, to_json_lines
 from trendloom.store import Snapshots
 
@@ -116,14 +116,18 @@ def test_sources(spark, tmp_path):
     assert got["Unknown"]["event_time_ms"] == 3 and got["Unknown"]["event_id"] >= 0
     m = in_memory(spark, [{"id": 2, "type": "PrivEsc", "timestamp_ms": 20, "host_id": "h1", "partition_key": ""}], SourceConfig("m")).first()
     assert (m["event_id"], m["partition_key"]) == (2, "h1")
-    seen = {}
+    at = str(tmp_path / "asked")
 
     def fetch(url, headers):
-        seen.update(headers, url=url)
+        with open(at, "w") as f:
+            f.write(url + headers["Authorization"])
         return '[{"id": 1, "type": "A"}, {"id": 2}]'
 
     df = http_poll(spark, SourceConfig("h", "http://x", token="t", max_messages=1), fetch)
-    assert df.count() == 1 and seen["Authorization"] == "Bearer t"
+    assert df.count() == 1 and open(at).read() == "http://xBearer t"
+    assert http_messages('{\n "a": 1\n}') == ['{"a": 1}'] and http_messages('{"a": 1}\n\n{"b": 2}') == ['{"a": 1}', '{"b": 2}'] and http_messages("") == []
+    with pytest.raises(ValueError):
+        json_lines_stream(spark, SourceConfig("f", str(tmp_path), max_messages=1))
     assert batches(spark.range(100).withColumnRenamed("id", "event_id"), 10).select("batch").distinct().count() == 10
 
 
@@ -179,14 +183,20 @@ def test_calibration(spark):
 
 
 def test_pipeline_and_schemas(spark):
-    from trendloom.schemas import TABLES, create_tables
+    from trendloom.schemas import TABLES, bridge_view, create_tables
     from trendloom.streaming.pipeline import canonical, rejected
 
     raw = spark.createDataFrame([('{"id": 1, "type": "A", "timestamp_ms": 5}',), ('{"id": 2, "type": "A"}',), ("not json",)], "raw_json string")
     assert canonical(raw, "s").count() == 1 and rejected(raw, "s").count() == 2
     for ddl in TABLES.values():
         assert spark.createDataFrame([], ddl).count() == 0
-    assert callable(create_tables)
+    try:
+        create_tables(spark, "made_here", ("trends", "metrics"))
+        spark.sql("INSERT INTO made_here.metrics VALUES ('s', 1, 'q', 'v', 'p', 'm', 2.0)")
+        bridge_view(spark, "made_here.bridged", "made_here.metrics")
+        assert spark.table("made_here.bridged").first()["metric_value"] == 2.0 and spark.table("made_here.trends").count() == 0
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS made_here CASCADE")
 
 
 def test_spread(spark):
@@ -199,3 +209,42 @@ def test_spread(spark):
     assert spread(many) is many
     grouped = few.groupBy("id").count()
     assert spread(grouped) is grouped
+
+
+def test_next_events_in_blocks(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(6)
+    data = [(i, rng.choice(["hot", "hot", "hot", "a", None]), rng.randint(0, 300)) for i in range(400)]
+    df = spark.createDataFrame(data, "event_id bigint, partition_key string, event_time_ms bigint")
+    w = Window.partitionBy("partition_key").orderBy("event_time_ms", "event_id")
+    expected = rows(df.select("event_id", F.lead("event_id").over(w).alias("n"), F.lead("event_time_ms").over(w).alias("nt")).where("n IS NOT NULL"))
+    for block in (1, 7, 10_000):
+        assert rows(graph.with_next(df, ["partition_key"], block).where("n IS NOT NULL"), "event_id", "n", "nt") == expected
+
+
+def test_graph_snapshot_and_costs(spark, tmp_path):
+    from trendloom.store import load_graph, save_graph
+
+    e = spark.createDataFrame([(1, "p", "A", 1, "u", "h"), (2, "p", "B", 2, "u", "h")], EVENT)
+    save_graph(e, graph.event_graph(e), str(tmp_path / "g"))
+    events_, edges = load_graph(spark, str(tmp_path / "g"))
+    assert events_.count() == 2 and rows(edges, "relation") == rows(graph.event_graph(e), "relation")
+    c = spark.createDataFrame([(1.0, 2.0, 5), (3.0, 4.0, 7), (9.0, 9.0, None)], "per_vertex double, per_edge double, created_at bigint")
+    assert rows(windows.latest_costs(c)) == [(3.0, 4.0)] and windows.latest_costs(c.limit(0)).count() == 0
+
+
+def test_options_from_the_environment(monkeypatch):
+    from trendloom.engine import Options
+
+    monkeypatch.setenv("TRENDLOOM_MODE", "graph")
+    monkeypatch.setenv("TRENDLOOM_MAX_GAP_MS", "5")
+    monkeypatch.setenv("TRENDLOOM_MAX_LENGTH", "x")
+    monkeypatch.setenv("TRENDLOOM_ENTITY_KEYS", "user_id, host_id")
+    o = Options.from_env()
+    assert (o.mode, o.max_gap_ms, o.max_length, o.entity_keys, o.plan) == ("graph", 5, None, ("user_id", "host_id"), "auto")
+    monkeypatch.setenv("TRENDLOOM_MODE", "other")
+    with pytest.raises(ValueError):
+        Options.from_env()

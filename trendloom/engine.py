@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -31,6 +32,18 @@ class Options:
     criticality: str | None = "asset_criticality"
     fields: tuple[str, ...] = field(default=())
 
+    @classmethod
+    def from_env(cls, prefix: str = "TRENDLOOM") -> Options:
+        """From <prefix>_MODE, _PLAN, _MAX_GAP_MS, _MAX_LENGTH and _ENTITY_KEYS (with commas); a number that is none, like an
+        unset name, leaves the default, an unknown mode is an error."""
+        get = lambda name: os.environ.get(f"{prefix}_{name}", "").strip()
+        mode = get("MODE") or cls.mode
+        if mode not in MODES:
+            raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
+        number = lambda name: int(get(name)) if get(name).isdecimal() else None
+        keys = tuple(k.strip() for k in get("ENTITY_KEYS").split(",") if k.strip())
+        return cls(mode=mode, plan=get("PLAN") or cls.plan, max_gap_ms=number("MAX_GAP_MS"), max_length=number("MAX_LENGTH"), entity_keys=keys or cls.entity_keys)
+
 
 def find(events: DataFrame, spec: QuerySpec, options: Options | None = None) -> DataFrame:
     """Valid paths (partition_key, path) of one query in the chosen mode."""

@@ -37,19 +37,37 @@ def _nodes(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_id").isNotNull() & F.col("event_time_ms").isNotNull())
 
 
+DAY_MS = 86_400_000
+
+
+def with_next(rows: DataFrame, keys: list[str], block_ms: int = DAY_MS) -> DataFrame:
+    """Rows (event_id, event_time_ms, ...) with `n` and `nt`, the next event of the same keys by (time, identifier), null for the last.
+
+    In two levels, so that a key with a third of all rows is spread over its blocks of time: the next
+    one within the block, and for a block's last event the first one of the next block that has any.
+    """
+    event = F.struct(F.col("event_time_ms").alias("t"), F.col("event_id").alias("id"))
+    inside = Window.partitionBy(*keys, "_at").orderBy("event_time_ms", "event_id")
+    placed = rows.withColumn("_at", F.floor(F.col("event_time_ms") / block_ms)).withColumn("_next", F.lead(event).over(inside)).withColumn("_nth", F.row_number().over(inside))
+    heads = placed.where("_nth = 1").select(*keys, "_at", event.alias("_head"))
+    after = heads.select(*keys, "_at", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_at")).alias("_later"))
+    both = placed.alias("a").join(after.alias("b"), reduce(lambda x, y: x & y, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_at"])), "left")
+    following = F.coalesce("_next", "_later")
+    return both.select(*(F.col(f"a.{c}") for c in rows.columns), following["id"].alias("n"), following["t"].alias("nt"))
+
+
 def temporal_edges(events: DataFrame, max_gap_ms: int | None = None) -> DataFrame:
     """`temporal_next` from each event to the next of its key by (time, identifier)."""
-    w = Window.partitionBy("partition_key").orderBy("event_time_ms", "event_id")
-    rows = _nodes(events).select("partition_key", "event_id", "event_time_ms", F.lead("event_id").over(w).alias("n"), F.lead("event_time_ms").over(w).alias("nt"))
+    rows = with_next(_nodes(events).select("partition_key", "event_id", "event_time_ms"), ["partition_key"])
     return _finish(rows.where(F.col("n").isNotNull()).select(*_edge(F.col("event_id"), F.col("n"), F.col("event_time_ms"), F.col("nt"), F.lit("temporal_next"), F.col("partition_key"))), max_gap_ms)
 
 
 def chain_edges(events: DataFrame) -> DataFrame:
     """Consecutive events of a key, each edge with the time of the whole key as its window."""
-    w = Window.partitionBy("partition_key")
-    o = w.orderBy("event_time_ms", "event_id")
-    rows = _nodes(events).select("event_id", F.lead("event_id").over(o).alias("dst"), F.min("event_time_ms").over(w).alias("window_start_ms"), F.max("event_time_ms").over(w).alias("window_end_ms"))
-    return rows.where(F.col("dst").isNotNull()).select(F.col("event_id").alias("src"), "dst", "window_start_ms", "window_end_ms")
+    nodes = _nodes(events).select("partition_key", "event_id", "event_time_ms")
+    spans = nodes.groupBy(F.col("partition_key").alias("key")).agg(F.min("event_time_ms").alias("window_start_ms"), F.max("event_time_ms").alias("window_end_ms"))
+    rows = with_next(nodes, ["partition_key"]).where(F.col("n").isNotNull())
+    return rows.join(spans, F.col("partition_key").eqNullSafe(F.col("key"))).select(F.col("event_id").alias("src"), F.col("n").alias("dst"), "window_start_ms", "window_end_ms")
 
 
 def entity_values(events: DataFrame, keys: tuple[str, ...] = tuple(RELATIONS)) -> DataFrame:
@@ -67,22 +85,30 @@ def _relation(entity: Column) -> Column:
 
 def entity_edges(events: DataFrame, keys: tuple[str, ...] = tuple(RELATIONS), max_gap_ms: int | None = None) -> DataFrame:
     """From each event to the next one, in any key, that shares an entity; null and empty values share nothing."""
-    w = Window.partitionBy("entity", "value").orderBy("event_time_ms", "event_id")
-    rows = entity_values(events, keys).select("*", F.lead("event_id").over(w).alias("n"), F.lead("event_time_ms").over(w).alias("nt"))
+    rows = with_next(entity_values(events, keys), ["entity", "value"])
     return _finish(rows.where(F.col("n").isNotNull()).select(*_edge(F.col("event_id"), F.col("n"), F.col("event_time_ms"), F.col("nt"), _relation(F.col("entity")), F.col("value"))), max_gap_ms)
 
 
 def parent_edges(events: DataFrame, max_gap_ms: int | None = None) -> DataFrame:
     """`parent_process`: to each event from the latest one, by (time, identifier), whose process is its parent's, at or before it.
 
-    An as-of join: processes and children of one process id in one order, and the last process seen so far.
+    An as-of join: processes and children of one process id in one order, and the last process seen
+    so far; within blocks of time first, then over the last process of each block, so a busy process
+    is spread over its blocks.
     """
     rows = _nodes(events).select(F.col("event_id"), F.col("event_time_ms"), field(events, "process_id").cast("string").alias("pid"), field(events, "parent_process_id").cast("string").alias("parent"))
     processes = rows.where("pid IS NOT NULL").select(F.col("pid").alias("p"), F.col("event_time_ms").alias("t"), F.lit(0).alias("child"), F.col("event_id").alias("id"))
     children = rows.where("parent IS NOT NULL").select(F.col("parent").alias("p"), F.col("event_time_ms").alias("t"), F.lit(1).alias("child"), F.col("event_id").alias("id"))
-    w = Window.partitionBy("p").orderBy("t", "child", "id").rowsBetween(Window.unboundedPreceding, 0)
-    latest = F.last(F.when(F.col("child") == 0, F.struct("id", "t")), ignorenulls=True).over(w)
-    found = processes.unionByName(children).withColumn("parent", latest).where("child = 1 AND parent IS NOT NULL")
+    line = processes.unionByName(children).withColumn("at", F.floor(F.col("t") / DAY_MS))
+    inside = Window.partitionBy("p", "at").orderBy("t", "child", "id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("child") == 0, F.struct("id", "t")), ignorenulls=True)
+    placed = line.withColumn("parent", seen.over(inside))
+    ends = processes.withColumn("at", F.floor(F.col("t") / DAY_MS)).groupBy("p", "at").agg(F.max_by(F.struct("id", "t"), F.struct("t", "id")).alias("end"))
+    # a block's children may come before its first process, and a block may hold children alone: each takes the last block before it
+    blocks = line.select("p", "at").distinct().join(ends, ["p", "at"], "left")
+    earlier = Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("p", "at", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    found = placed.where("child = 1").join(carried, ["p", "at"], "left").withColumn("parent", F.coalesce("parent", "carried")).where("parent IS NOT NULL")
     return _finish(found.select(*_edge(F.col("parent.id"), F.col("id"), F.col("parent.t"), F.col("t"), F.lit("parent_process"), F.col("p"))), max_gap_ms)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,19 +47,23 @@ def graphlet_delta(previous: DataFrame, current: DataFrame) -> DataFrame:
 def greedy_plan(g: DataFrame, memory: float) -> DataFrame:
     """Graphlets taken cheapest first (cpu + memory, then index) as long as each fits in what memory is left.
 
-    One that doesn't fit is passed over. A plan covers a handful of windows of one query (its size
-    is that of a plan, not of data), so the order is folded in one array.
+    One that doesn't fit is passed over, so each choice hangs on those before it: the graphlets run
+    in order through one task, which sorts them on disk if need be and holds one batch at a time.
     """
-    item = F.struct((F.col("cpu_cost") + F.col("memory_cost")).alias("score"), "idx", "memory_cost", "cpu_cost")
-    zero = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<struct<idx:bigint,memory_cost:double,cpu_cost:double>>").alias("taken"))
 
-    def take(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["memory_cost"] <= memory
-        one = F.struct(x["idx"].alias("idx"), x["memory_cost"].alias("memory_cost"), x["cpu_cost"].alias("cpu_cost"))
-        return F.struct((acc["used"] + F.when(fits, x["memory_cost"]).otherwise(0.0)).alias("used"), F.when(fits, F.concat(acc["taken"], F.array(one))).otherwise(acc["taken"]).alias("taken"))
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = 0.0
+        for b in batches:
+            taken = []
+            for cost in b["memory_cost"].to_pylist():
+                fits = cost is not None and used + cost <= memory
+                used += cost if fits else 0.0
+                taken.append(fits)
+            yield b.filter(pa.array(taken, pa.bool_())).select(["idx", "memory_cost", "cpu_cost"])
 
-    taken = g.agg(F.sort_array(F.collect_list(item)).alias("items")).select(F.explode(F.aggregate("items", zero, take, lambda a: a["taken"])).alias("x"))
-    return taken.select("x.idx", "x.memory_cost", "x.cpu_cost")
+    rows = g.select("idx", F.col("memory_cost").cast("double").alias("memory_cost"), F.col("cpu_cost").cast("double").alias("cpu_cost"))
+    line = rows.repartition(1).sortWithinPartitions(F.col("cpu_cost") + F.col("memory_cost"), "idx")
+    return line.mapInArrow(take, "idx bigint, memory_cost double, cpu_cost double")
 
 
 def least_cpu_plan(g: DataFrame, memory: float) -> DataFrame:
@@ -74,3 +81,9 @@ def calibrate_costs(observed: DataFrame, cost: str) -> DataFrame:
     sums = observed.agg(F.sum(v * v).alias("vv"), F.sum(e * e).alias("ee"), F.sum(v * e).alias("ve"), F.sum(v * c).alias("vc"), F.sum(e * c).alias("ec"))
     det = F.nullif(F.col("vv") * F.col("ee") - F.col("ve") * F.col("ve"), F.lit(0.0))
     return sums.select(((F.col("vc") * F.col("ee") - F.col("ec") * F.col("ve")) / det).alias("per_vertex"), ((F.col("ec") * F.col("vv") - F.col("vc") * F.col("ve")) / det).alias("per_edge"))
+
+
+def latest_costs(calibrations: DataFrame, at: str = "created_at") -> DataFrame:
+    """(per_vertex, per_edge) of the calibration made last; of equals the one with the greater weights. Empty without any."""
+    best = calibrations.agg(F.max_by(F.struct("per_vertex", "per_edge"), F.struct(F.col(at), "per_vertex", "per_edge")).alias("x"))
+    return best.where("x IS NOT NULL").select("x.*")

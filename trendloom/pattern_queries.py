@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.engine import Options, compare, find, run, stats
-from trendloom.functions.canonical import checked, from_activity
+from trendloom.functions.canonical import checked, from_activity, from_ecs, from_ocsf, normalise
 from trendloom.operators import graph, knowledge, metrics, replay, windows
 from trendloom.operators.enrich import entities, features, risk, trends
 from trendloom.plans.match import match, path_text
-from trendloom.plans.spec import QuerySpec, Registry, latest_versions
+from trendloom.plans.spec import QuerySpec, Registry, compile_chains, compile_rule, latest_versions
 from trendloom.plans.walk import walk_rejects
 from trendloom.session import settle, spread
 from trendloom.tables import table
@@ -96,6 +96,44 @@ SELECT CASE WHEN event_id IS NULL THEN 'missing event_id' WHEN partition_key IS
   WHEN event_type = '' THEN 'empty event_type' WHEN copies > 1 THEN 'duplicate event_id' END AS reason, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM m GROUP BY 1""",
 )
 
+# adapters: documents made of the activity, and back
+def _documents(e: DataFrame, **fields: object) -> DataFrame:
+    return e.select(F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("raw_json"))
+
+
+def _ecs(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    named = {"event": F.struct(F.col("event_id").cast("string").alias("id"), F.when(F.col("k") % 5 != 0, F.col("event_type")).alias("action"), F.upper("event_type").alias("category")), "user": F.struct(F.when(F.col("k") % 2 == 0, F.col("user_id")).alias("id"), F.concat(F.lit("n-"), "user_id").alias("name"))}
+    docs = _documents(e, **named, host=F.struct(F.col("host_id").alias("name")), source=F.struct(F.lit("").alias("ip")), event_time_ms=F.col("event_time_ms"))
+    return from_ecs(docs).select("event_id", "partition_key", "event_type", "event_time_ms", *(F.col("attributes")[f].alias(f) for f in ("user_id", "host_id", "source_ip")))
+
+
+_WHO = "CASE WHEN k % 2 = 0 THEN user_id ELSE 'n-' || user_id END"
+add("adapt_ecs", _ecs, f"WITH {C} SELECT event_id, {_WHO} AS partition_key, CASE WHEN k % 5 <> 0 THEN event_type ELSE upper(event_type) END AS event_type, event_time_ms, {_WHO} AS user_id, host_id, NULL::varchar AS source_ip FROM c")
+
+
+def _ocsf(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(events(spark, d), uid=F.col("event_id"), class_name=F.col("event_type"), time=F.col("event_time_ms"), device=F.struct(F.col("host_id").alias("hostname")), actor=F.struct(F.struct(F.when(F.col("k") % 2 == 0, F.col("user_id")).alias("uid")).alias("user")), cloud=F.struct(F.col("asset_id").alias("account_uid")))
+    return from_ocsf(docs).select("event_id", "partition_key", "event_type", "event_time_ms", *(F.col("attributes")[f].alias(f) for f in ("user_id", "host_id", "cloud_account_id")))
+
+
+add("adapt_ocsf", _ocsf, f"WITH {C} SELECT event_id, coalesce(CASE WHEN k % 2 = 0 THEN user_id END, host_id) AS partition_key, event_type, event_time_ms, CASE WHEN k % 2 = 0 THEN user_id END AS user_id, host_id, asset_id AS cloud_account_id FROM c")
+
+
+def _normalised(spark: SparkSession, d: str) -> DataFrame:
+    odd = F.col("k") % 2 == 1
+    docs = _documents(events(spark, d), id=F.col("event_id"), tenant_id=F.when(odd, ""), payload=F.struct(F.col("user_id").alias("user_id"), F.when(odd, F.col("event_type")).alias("eventName")), activity_name=F.concat(F.lit("x-"), "event_type"), timestamp_ms=F.when(F.col("k") % 3 == 0, F.col("event_time_ms")))
+    return normalise(docs, "raw", 7).select("event_id", "partition_key", "event_type", "event_time_ms", "source_name")
+
+
+add("normalise_raw", _normalised, f"WITH {C} SELECT event_id, user_id AS partition_key, CASE WHEN k % 2 = 1 THEN event_type ELSE 'x-' || event_type END AS event_type, CASE WHEN k % 3 = 0 THEN event_time_ms ELSE 7 END AS event_time_ms, 'raw' AS source_name FROM c")
+
+# compilers: what they make, run
+CHAIN = {"chain_id": "chain", "within_ms": 12 * HOUR, "steps": [{"event_type": "click"}, {"event_type": "view", "min_repeats": 0}, {"event_type": "purchase"}]}
+RULE = {"title": "rule", "sequence": ["click", "purchase"], "condition_fields": {"host_id": "h3"}, "timeframe_ms": DAY}
+add("compiled_chain", lambda s, d: shown(match(events(s, d), QuerySpec.of(compile_chains({"attack_chains": [CHAIN]})["queries"][0]))), f"WITH {C} " + " UNION ".join(chain_paths(x, 12 * HOUR) for x in (["'click'", "'purchase'"], CVP)))
+add("compiled_rule", lambda s, d: shown(match(events(s, d), QuerySpec.of(compile_rule(RULE)))), f"WITH {C}, w AS (SELECT * FROM c WHERE host_id = 'h3') " + chain_paths(["'click'", "'purchase'"], DAY, source="w"))
+
 # standing matches: fixed sequences, alternatives, optional and bounded steps
 simple("seq3_any_1d", "click,view,purchase", DAY, [CVP])
 simple("seq3_alternative", "click,(view|signup),purchase", DAY, [["'click'", "'view','signup'", "'purchase'"]])

@@ -23,3 +23,8 @@ def create_tables(spark: SparkSession, database: str, names: tuple[str, ...] = t
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name in names:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({TABLES[name]}) USING parquet")
+
+
+def bridge_view(spark: SparkSession, view: str, source: str) -> None:
+    """A view under the name that runs read, over the table that a pipeline writes."""
+    spark.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM {source}")

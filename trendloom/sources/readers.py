@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import os
 import urllib.request
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from trendloom.functions.canonical import normalise
 
@@ -18,12 +19,13 @@ Fetch = Callable[[str, dict[str, str]], str]
 
 @dataclass(frozen=True)
 class SourceConfig:
-    """What a source reads: its name in the data's lineage, where, and at most how many messages."""
+    """What a source reads: its name in the data's lineage, where, at most how many messages, and of a stream how many files a trigger."""
 
     name: str
     location: str = ""
     token: str | None = None
     max_messages: int | None = None
+    max_files: int | None = None
 
     @classmethod
     def from_env(cls, name: str, prefix: str) -> SourceConfig:
@@ -43,10 +45,12 @@ def json_lines(spark: SparkSession, config: SourceConfig, now_ms: int | None = N
 
 
 def json_lines_stream(spark: SparkSession, config: SourceConfig, now_ms: int | None = None) -> DataFrame:
-    """The same as a stream: files that appear in a folder."""
-    reader = spark.readStream
+    """The same as a stream: files that appear in a folder, at most `max_files` a trigger."""
     if config.max_messages is not None:
-        reader = reader.option("maxFilesPerTrigger", config.max_messages)
+        raise ValueError("a stream of files is limited by max_files, not by messages")
+    reader = spark.readStream
+    if config.max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", config.max_files)
     return normalise(reader.text(config.location).where(F.trim("value") != "").select(F.col("value").alias("raw_json")), config.name, now_ms)
 
 
@@ -56,21 +60,46 @@ def _get(url: str, headers: dict[str, str]) -> str:
 
 
 def http_messages(text: str) -> list[str]:
-    """Messages of an answer: a JSON array, one JSON object, or JSON lines."""
-    text = text.strip()
-    if text.startswith("["):
-        return [json.dumps(x) for x in json.loads(text)]
-    return [line for line in text.splitlines() if line.strip()]
+    """Messages of an answer: a JSON array, one JSON object however it is laid out, or JSON lines."""
+    try:
+        whole = json.loads(text)
+    except ValueError:
+        return [line for line in text.splitlines() if line.strip()]
+    return [json.dumps(x) for x in (whole if isinstance(whole, list) else [whole])]
 
 
-def http_poll(spark: SparkSession, config: SourceConfig, fetch: Fetch = _get, now_ms: int | None = None) -> DataFrame:
-    """Canonical events of one poll of an HTTP endpoint, with a bearer token if there is one.
+def http_source(fetch: Fetch = _get) -> type[DataSource]:
+    """A data source `trendloom_http` (options url and token): one poll of an endpoint, by an executor, when the plan runs."""
 
-    An answer is one message batch, not a data set; the poll runs where the plan is made.
-    """
-    headers = {"Accept": "application/json"} | ({"Authorization": f"Bearer {config.token}"} if config.token else {})
-    rows = [(m,) for m in http_messages(fetch(config.location, headers))]
-    return normalise(_limited(spark.createDataFrame(rows, "raw_json string"), config), config.name, now_ms)
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict[str, str]) -> None:
+            self.options = options
+
+        def read(self, partition: object) -> Iterator[tuple[str]]:
+            token = self.options.get("token")
+            headers = {"Accept": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+            yield from ((m,) for m in http_messages(fetch(self.options["url"], headers)))
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "trendloom_http"
+
+        def schema(self) -> str:
+            return "raw_json string"
+
+        def reader(self, schema: object) -> DataSourceReader:
+            return Reader(dict(self.options))
+
+    return Source
+
+
+def http_poll(spark: SparkSession, config: SourceConfig, fetch: Fetch = _get, now_ms: int | None = None) -> DataFrame:
+    """Canonical events of a poll of an HTTP endpoint, with a bearer token if there is one; polled anew whenever the plan runs."""
+    spark.dataSource.register(http_source(fetch))
+    reader = spark.read.format("trendloom_http").option("url", config.location)
+    raw = (reader if config.token is None else reader.option("token", config.token)).load()
+    return normalise(_limited(raw, config), config.name, now_ms)
 
 
 def in_memory(spark: SparkSession, messages: Iterable[dict], config: SourceConfig, now_ms: int | None = None) -> DataFrame:

@@ -158,3 +158,14 @@ class Buckets:
     def upsert(self, rows: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> None:
         """Rows replace those with the same keys or join them (see `trendloom.operators.replay.upsert`)."""
         self.change(rows, lambda old, new: upsert(old, new, keys, keep))
+
+
+def save_graph(events: DataFrame, edges: DataFrame, path: str) -> None:
+    """Keep a graph of events: its events and edges as snapshot tables under one folder."""
+    Snapshots(events.sparkSession, f"{path}/events").replace(events)
+    Snapshots(events.sparkSession, f"{path}/edges").replace(edges)
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, edges) of the graph kept last."""
+    return Snapshots(spark, f"{path}/events").read(), Snapshots(spark, f"{path}/edges").read()
