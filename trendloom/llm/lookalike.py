@@ -319,18 +319,18 @@ def _digest(text: str) -> bytes:
 
 
 def look_classes(forms: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links): documents whose text looks like another that is stored otherwise, with the class (the
-    digest of its canonical text, in hexadecimal) and the number of documents it is linked with.
+    """(doc_id, class_id, n_links): documents whose text looks like another that is stored otherwise, with the class (its
+    lowest doc_id) and the number of documents it is linked with.
 
     The safe form of `look_pairs`: counts per class and stored form are made before any join, so a
     class of any size is one row for each document. Equal texts are not linked with each other. A
     document identifier that comes twice with texts of one class comes twice.
     """
     shown = settle(forms.where("NOT blank").select("doc_id", "look", "stored"), "looks")
-    sizes = shown.groupBy("look", "stored").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("look").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("forms")).where("forms > 1")
-    links = sizes.join(several, "look").select("look", "stored", (F.col("total") - F.col("n")).alias("n_links"))
-    return shown.join(links, ["look", "stored"]).select("doc_id", F.lower(F.hex("look")).alias("class_id"), "n_links")
+    sizes = shown.groupBy("look", "stored").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"))
+    several = sizes.groupBy("look").agg(F.sum("n").alias("total"), F.min("low").alias("class_id"), F.count(F.lit(1)).alias("forms")).where("forms > 1")
+    links = sizes.join(several, "look").select("look", "stored", "class_id", (F.col("total") - F.col("n")).alias("n_links"))
+    return shown.join(links, ["look", "stored"]).select("doc_id", "class_id", "n_links")
 
 
 def look_pairs(forms: DataFrame, *, part_rows: int = 2_000) -> DataFrame:
