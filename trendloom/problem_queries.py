@@ -13,6 +13,8 @@ from trendloom.operators.features import feature_entries, feature_table
 from trendloom.operators.intervals import periods_and_gaps
 from trendloom.operators.lateness import late_corrections
 from trendloom.operators.sessions import sessionize
+from trendloom.streaming.replay_files import through_stream
+from trendloom.streaming.sessions import first_deliveries, period_counts, session_stream
 from trendloom.tables import table
 
 
@@ -76,7 +78,35 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return periods_and_gaps(table(spark, d, "cet_impacted_windows_v2")).select(F.col("k").alias("partition_key"), "kind", "start_ms", "end_ms")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_session_lengths, p2_found, p2_kept_per_batch, p3_found, p3_features, p3_features_chosen, p4_found, p4_hourly, p5_found)}
+def _arrivals(df: DataFrame, time: str) -> list[DataFrame]:
+    """A table in three parts that arrive out of order of time, and a last row far behind all others that closes what is open."""
+    parts = [df.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i) for i in range(3)]
+    end = df.agg((F.max(time) + F.expr("INTERVAL 61 DAYS")).alias("_end")).where("_end IS NOT NULL")
+    last = [F.col("_end").alias(c) if c == time else F.lit(-1 if c == "event_id" else None).cast(t).alias(c) for c, t in df.dtypes]
+    return [*parts, end.select(*last)]
+
+
+def p1_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The sessions of p1 by the stream with a watermark: events arrive late and out of order, sessions come out once closed."""
+    e = canonical_events(_buffer(spark, d)).select("event_id", "k", F.timestamp_millis("t").alias("time"))
+    found = through_stream(_arrivals(e, "time"), lambda s: session_stream(s, key="k", time="time", gap="30 minutes", lateness="60 days"))
+    return found.where("k IS NOT NULL").select(F.col("k").alias("partition_key"), F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n_events")
+
+
+def p2_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Each identifier once out of a stream of deliveries, whichever of its batches comes first."""
+    rows = _buffer(spark, d).where("event_id IS NOT NULL AND ingested_at IS NOT NULL").select("event_id", "ingested_at")
+    return through_stream(_arrivals(rows, "ingested_at"), lambda s: first_deliveries(s, within="60 days")).where("event_id > 0").groupBy("event_id").agg(F.count(F.lit(1)).alias("n_delivered"))
+
+
+def p4_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events by hour of event time, out of a stream in which they arrive out of order."""
+    e = canonical_events(_buffer(spark, d)).select("event_id", F.timestamp_millis("t").alias("time"))
+    found = through_stream(_arrivals(e, "time"), lambda s: period_counts(s, time="time", cutoff="60 days"))
+    return found.select(F.unix_millis("period_start").alias("period_start_ms"), "n_events")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_session_lengths, p1_stream, p2_found, p2_kept_per_batch, p2_stream, p3_found, p3_features, p3_features_chosen, p4_found, p4_hourly, p4_stream, p5_found)}
 
 _EVENTS = """ev AS (
   SELECT DISTINCT event_id, partition_key AS k, event_time_ms AS t,
@@ -102,6 +132,9 @@ late AS (SELECT t // 3600000 * 3600000 AS period_start_ms, batch_id, arr - t * 1
 
 SQL: dict[str, str] = {
     "p1_found": f"{_SESSIONS} SELECT k AS partition_key, start_ms, end_ms, n_events FROM s",
+    "p1_stream": f"{_SESSIONS} SELECT k AS partition_key, start_ms, end_ms, n_events FROM s",
+    "p2_stream": "SELECT DISTINCT event_id, 1::bigint AS n_delivered FROM cet_event_buffer_v5 WHERE event_id > 0 AND ingested_at IS NOT NULL",
+    "p4_stream": f"WITH {_EVENTS} SELECT t // 3600000 * 3600000 AS period_start_ms, count(*) AS n_events FROM ev GROUP BY 1",
     "p1_session_lengths": f"{_SESSIONS} SELECT n_events, count(*) AS n_sessions, sum(end_ms - start_ms)::bigint AS total_ms, max(end_ms - start_ms) AS longest_ms FROM s GROUP BY n_events",
     "p2_found": f"WITH {_KEPT} SELECT event_id, batch_id FROM kept WHERE n_copies > 1",
     "p2_kept_per_batch": f"WITH {_KEPT} SELECT batch_id, count(*) AS n_kept, sum(n_copies - 1)::bigint AS n_dropped FROM kept GROUP BY batch_id",

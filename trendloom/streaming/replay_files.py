@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,3 +35,17 @@ def stream_in_files(events: DataFrame, spec: QuerySpec, batches: int) -> DataFra
     query.awaitTermination()
     active = active_set(spark.read.schema(CHANGES).parquet(f"{root}/out"))
     return active.select("trend_id", "partition_key", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
+def through_stream(parts: Sequence[DataFrame], transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream's transformation appends when the parts of a table arrive one after another, as a table in the shared folder."""
+    spark = parts[0].sparkSession
+    files = spark.sparkContext.defaultParallelism
+    root = f"{shared_dir(spark)}/replayed/{uuid.uuid4().hex}"
+    for p in parts:
+        p.repartition(files).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
+    made = transform(stream)
+    query = made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{root}/out")
