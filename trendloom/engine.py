@@ -16,6 +16,7 @@ from trendloom.plans.graph_match import graph_statistics, match_graph
 from trendloom.plans.match import holds, match, path_text, without_absent
 from trendloom.plans.spec import QuerySpec, Registry
 from trendloom.plans.walk import match_walks
+from trendloom.session import settle
 
 MODES = ("standing", "walk", "graph")
 
@@ -57,7 +58,9 @@ def find(events: DataFrame, spec: QuerySpec, options: Options | None = None) ->
     if o.mode == "walk":
         found = match_walks(events, spec, wanted, ways=ways)
     elif o.mode == "graph":
-        found = match_graph(events, graph_of(events, spec, o), spec, wanted, o.max_length, ways)
+        # edges, seeds and targets all read the events of the query's types: worked out once
+        named = settle(events.where(F.col("event_type").isin(spec.types())), "events")
+        found = match_graph(named, graph_of(named, spec, o), spec, wanted, o.max_length, ways)
     else:
         raise ValueError(f"unknown mode {o.mode!r}; one of {MODES}")
     if not ways:
@@ -69,8 +72,8 @@ def find(events: DataFrame, spec: QuerySpec, options: Options | None = None) ->
 
 
 def graph_of(events: DataFrame, spec: QuerySpec, options: Options) -> DataFrame:
-    """The edges that a query's walks may take: between events of the types that it names."""
-    return event_graph(events.where(F.col("event_type").isin(spec.types())), options.entity_keys, options.max_gap_ms)
+    """The edges that a query's walks may take: between events of the types that it names. The search makes them distinct."""
+    return event_graph(events.where(F.col("event_type").isin(spec.types())), options.entity_keys, options.max_gap_ms, once=False)
 
 
 def run(events: DataFrame, registry: Registry, options: Options | None = None) -> DataFrame:

@@ -25,11 +25,13 @@ def _edge(src: Column, dst: Column, start: Column, end: Column, relation: Column
     return [src.alias("src"), dst.alias("dst"), relation.alias("relation"), start.alias("window_start_ms"), end.alias("window_end_ms"), evidence.alias("evidence")]
 
 
-def _finish(edges: DataFrame, max_gap_ms: int | None) -> DataFrame:
-    """No loops, no gap beyond the limit, each (src, dst, relation) once."""
+def _finish(edges: DataFrame, max_gap_ms: int | None, once: bool = True) -> DataFrame:
+    """No loops, no gap beyond the limit, and (unless a later step does that) each (src, dst, relation) once."""
     kept = edges.where("src <> dst")
     if max_gap_ms is not None:
         kept = kept.where(F.col("window_end_ms") - F.col("window_start_ms") <= max_gap_ms)
+    if not once:
+        return kept
     return kept.groupBy("src", "dst", "relation").agg(F.min("window_start_ms").alias("window_start_ms"), F.max("window_end_ms").alias("window_end_ms"), F.min("evidence").alias("evidence"))
 
 
@@ -56,10 +58,10 @@ def with_next(rows: DataFrame, keys: list[str], block_ms: int = DAY_MS) -> DataF
     return both.select(*(F.col(f"a.{c}") for c in rows.columns), following["id"].alias("n"), following["t"].alias("nt"))
 
 
-def temporal_edges(events: DataFrame, max_gap_ms: int | None = None) -> DataFrame:
+def temporal_edges(events: DataFrame, max_gap_ms: int | None = None, once: bool = True) -> DataFrame:
     """`temporal_next` from each event to the next of its key by (time, identifier)."""
     rows = with_next(_nodes(events).select("partition_key", "event_id", "event_time_ms"), ["partition_key"])
-    return _finish(rows.where(F.col("n").isNotNull()).select(*_edge(F.col("event_id"), F.col("n"), F.col("event_time_ms"), F.col("nt"), F.lit("temporal_next"), F.col("partition_key"))), max_gap_ms)
+    return _finish(rows.where(F.col("n").isNotNull()).select(*_edge(F.col("event_id"), F.col("n"), F.col("event_time_ms"), F.col("nt"), F.lit("temporal_next"), F.col("partition_key"))), max_gap_ms, once)
 
 
 def chain_edges(events: DataFrame) -> DataFrame:
@@ -83,13 +85,13 @@ def _relation(entity: Column) -> Column:
     return F.coalesce(F.try_element_at(names, entity), F.concat(F.lit("same_"), entity))
 
 
-def entity_edges(events: DataFrame, keys: tuple[str, ...] = tuple(RELATIONS), max_gap_ms: int | None = None) -> DataFrame:
+def entity_edges(events: DataFrame, keys: tuple[str, ...] = tuple(RELATIONS), max_gap_ms: int | None = None, once: bool = True) -> DataFrame:
     """From each event to the next one, in any key, that shares an entity; null and empty values share nothing."""
     rows = with_next(entity_values(events, keys), ["entity", "value"])
-    return _finish(rows.where(F.col("n").isNotNull()).select(*_edge(F.col("event_id"), F.col("n"), F.col("event_time_ms"), F.col("nt"), _relation(F.col("entity")), F.col("value"))), max_gap_ms)
+    return _finish(rows.where(F.col("n").isNotNull()).select(*_edge(F.col("event_id"), F.col("n"), F.col("event_time_ms"), F.col("nt"), _relation(F.col("entity")), F.col("value"))), max_gap_ms, once)
 
 
-def parent_edges(events: DataFrame, max_gap_ms: int | None = None) -> DataFrame:
+def parent_edges(events: DataFrame, max_gap_ms: int | None = None, once: bool = True) -> DataFrame:
     """`parent_process`: to each event from the latest one, by (time, identifier), whose process is its parent's, at or before it.
 
     An as-of join: processes and children of one process id in one order, and the last process seen
@@ -109,7 +111,7 @@ def parent_edges(events: DataFrame, max_gap_ms: int | None = None) -> DataFrame:
     earlier = Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select("p", "at", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
     found = placed.where("child = 1").join(carried, ["p", "at"], "left").withColumn("parent", F.coalesce("parent", "carried")).where("parent IS NOT NULL")
-    return _finish(found.select(*_edge(F.col("parent.id"), F.col("id"), F.col("parent.t"), F.col("t"), F.lit("parent_process"), F.col("p"))), max_gap_ms)
+    return _finish(found.select(*_edge(F.col("parent.id"), F.col("id"), F.col("parent.t"), F.col("t"), F.lit("parent_process"), F.col("p"))), max_gap_ms, once)
 
 
 def all_pair_edges(events: DataFrame, key: str, max_gap_ms: int) -> DataFrame:
@@ -126,10 +128,10 @@ def all_pair_edges(events: DataFrame, key: str, max_gap_ms: int) -> DataFrame:
     return a.join(b, ["v", "at"]).where(later & near).select("src", "dst", F.lit(RELATIONS.get(key, f"same_{key}")).alias("relation"), "window_start_ms", "window_end_ms", F.col("v").alias("evidence"))
 
 
-def event_graph(events: DataFrame, keys: tuple[str, ...] = tuple(RELATIONS), max_gap_ms: int | None = None) -> DataFrame:
-    """Temporal, entity and parent edges together."""
-    parts = [temporal_edges(events, max_gap_ms), parent_edges(events, max_gap_ms)]
-    return reduce(DataFrame.unionByName, [*parts, entity_edges(events, keys, max_gap_ms)] if keys else parts)
+def event_graph(events: DataFrame, keys: tuple[str, ...] = tuple(RELATIONS), max_gap_ms: int | None = None, once: bool = True) -> DataFrame:
+    """Temporal, entity and parent edges together; without `once` parallel edges of a relation may repeat."""
+    parts = [temporal_edges(events, max_gap_ms, once), parent_edges(events, max_gap_ms, once)]
+    return reduce(DataFrame.unionByName, [*parts, entity_edges(events, keys, max_gap_ms, once)] if keys else parts)
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
