@@ -58,13 +58,20 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     the end of the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled/{label}-{uuid.uuid4().hex}"
-    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    path = scratch(spark, f"settled/{label}")
     _SETTLED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.plans.spec import QuerySpec
-from trendloom.session import shared_dir
+from trendloom.session import scratch
 from trendloom.streaming.standing import CHANGES, active_set, standing_changes
 
 
@@ -20,7 +19,7 @@ def stream_in_files(events: DataFrame, spec: QuerySpec, batches: int) -> DataFra
     a trigger, and its changes go to a table in the same folder.
     """
     spark = events.sparkSession
-    root = f"{shared_dir(spark)}/standing/{uuid.uuid4().hex}"
+    root = scratch(spark, "standing")
     low, high = events.agg(F.min("event_time_ms"), F.max("event_time_ms")).first()
     if low is None:
         return spark.createDataFrame([], "trend_id string, partition_key string, path string")
@@ -41,7 +40,7 @@ def through_stream(parts: Sequence[DataFrame], transform: Callable[[DataFrame],
     """What a stream's transformation appends when the parts of a table arrive one after another, as a table in the shared folder."""
     spark = parts[0].sparkSession
     files = spark.sparkContext.defaultParallelism
-    root = f"{shared_dir(spark)}/replayed/{uuid.uuid4().hex}"
+    root = scratch(spark, "replayed")
     for p in parts:
         p.repartition(files).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
