@@ -5,8 +5,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trendloom.engine import Options, find, run, statistics
+from trendloom.engine import Options, find, find_texts, run, statistics
 from trendloom.functions.predicates import Predicate
+from trendloom.plans import graph_local
 from trendloom.plans.local import local_absent, local_holds, local_paths, local_walk_ways, local_walks
 from trendloom.plans.graph_match import graph_statistics
 from trendloom.plans.match import match, match_paths
@@ -217,3 +218,40 @@ def test_graph_statistics(spark):
     assert (cut["paths_found"], cut["paths_truncated"], cut["overflow"]) == (4, 3, 1)
     bad = statistics(e, Registry.of([{"id": "ok", "pattern": "A,C", "within_ms": 10, "where": [{"field": "user_id", "op": "eq", "value": "u", "event_type": "C"}]}, {"id": "bad", "pattern": "(A|B),C", "within_ms": 1}]), edges=edges)
     assert {r["query_id"]: (r["status"], r["paths_found"], r["predicate_rejects"]) for r in bad.collect()} == {"ok": ("ok", 9, 0), "bad": ("err", None, None)}
+
+
+def _tangled(spark):
+    """Events of several keys, many at one time, so that walks may turn back; one of another type, one without a key."""
+    rng = random.Random(7)
+    rows = [(i, rng.choice("pqr"), rng.choice("AABBCX"), rng.randint(1, 30) // 2, rng.choice("uvw"), rng.choice("hg")) for i in range(1, 45)]
+    return spark.createDataFrame([*rows, (99, None, "A", 5, "u", "h")], "event_id bigint, partition_key string, event_type string, event_time_ms bigint, user_id string, host_id string")
+
+
+def _texts(found):
+    return sorted(map(tuple, found.collect()))
+
+
+def _level_by_level(monkeypatch, e, spec, o):
+    with monkeypatch.context() as m:
+        m.setattr(graph_local, "HELD", 0)
+        return _texts(find_texts(e, spec, o))
+
+
+def _each_plan(spark, monkeypatch, pattern, cells, **more):
+    e, o = _tangled(spark), Options(mode="graph", entity_keys=("user_id", "host_id"))
+    expected = _level_by_level(monkeypatch, e, q(pattern, 6, **more), o)
+    monkeypatch.setattr(graph_local, "CELLS", cells)
+    found = find_texts(e, q(pattern, 6, **more), o)
+    assert _texts(found) == expected and expected
+    assert sorted(",".join(str(x["id"]) for x in r["path"]) for r in find(e, q(pattern, 6, **more), o).collect()) == sorted(t for _, t in expected)
+    return found
+
+
+@pytest.mark.parametrize("pattern", ["A,B", "A,B+,C", "A"])
+def test_graph_walks_by_block_as_level_by_level(spark, monkeypatch, pattern):
+    _each_plan(spark, monkeypatch, pattern, 7)
+
+
+def test_graph_walks_do_not_move(spark):
+    plan = find_texts(_tangled(spark), q("A,B", 6), Options(mode="graph"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow"), plan[:200]
