@@ -255,3 +255,11 @@ def test_graph_walks_by_block_as_level_by_level(spark, monkeypatch, pattern):
 def test_graph_walks_do_not_move(spark):
     plan = find_texts(_tangled(spark), q("A,B", 6), Options(mode="graph"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("MapInArrow"), plan[:200]
+
+
+@pytest.mark.parametrize("pattern", ["A,B", "A,B+,C"])
+def test_graph_absence_by_block_as_level_by_level(spark, monkeypatch, pattern):
+    absent = [{"event_type": "B", "within_ms": 3}, {"event_type": "X", "where": [{"field": "user_id", "op": "ne", "value": "w"}]}]
+    found = _each_plan(spark, monkeypatch, pattern, 50, absence=absent)
+    # with one way of matching a walk, walks are not joined with the absent events
+    assert pattern != "A,B" or "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
