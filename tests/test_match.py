@@ -263,3 +263,10 @@ def test_graph_absence_by_block_as_level_by_level(spark, monkeypatch, pattern):
     found = _each_plan(spark, monkeypatch, pattern, 50, absence=absent)
     # with one way of matching a walk, walks are not joined with the absent events
     assert pattern != "A,B" or "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_graph_relations_by_block_as_level_by_level(spark, monkeypatch):
+    found = _each_plan(spark, monkeypatch, "A,B", 50, relations=[{"field": "user_id"}])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # walks are neither joined nor made distinct once they are found
+    assert not {"Join", "Aggregate"} & set(plan[: plan.index("MapInArrow")].replace("(", " ").split())
